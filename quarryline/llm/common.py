@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows of one Arrow batch; with whole texts of up to some 100 KB a batch stays in the tens of MB.
 BATCH_ROWS = 512
@@ -75,14 +77,14 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[list], dict]], colum
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     kept = [f.simpleString().replace(":", " ", 1) for f in df.select(*keep).schema.fields]
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    made = {f.name: to_arrow_type(f.dataType) for f in T.StructType.fromDDL(schema).fields}
     width = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
             got = apply(batch.column(width).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), *(pa.array(got[n]) for n in names)], names=[*batch.schema.names[:width], *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), *(pa.array(got[n], kind) for n, kind in made.items())], names=[*batch.schema.names[:width], *made])
 
     return df.select(*keep, column).mapInArrow(run, ", ".join([*kept, schema]))
 

@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .ogg import media_features, with_media
+from .order_minhash import near_duplicates
+from .packing import n_tokens, packed
 from .piece_bpe import piece_digests
+from .range_join import near_vectors
+from .secrets import labelled_samples, report_sql, secret_report, train
+from .sharding import record_size, write_shards
 from .token_counts import token_counts
 from .token_files import token_digests, write_token_files
+from .toxicity import fit, held_out, with_scores
 
 END_ID = 2
+SHARDS = 40
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,18 +33,72 @@ def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(media, keep=("doc_id", "n_bytes")).drop("error")
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
     return token_digests(spark, files)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"), train(labelled_samples()))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), n_tokens())
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = write_shards(table(spark, sf_dir, "documents"), SHARDS)
+    return shards.select(
+        "doc_id",
+        record_size().alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op8_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = with_scores(docs, fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_ogg_media, op4_token_files, op10_piece_bpe)}
+    ops = (op1_token_counts, op2_ogg_media, op3_order_minhash, op4_token_files, op5_secrets, op6_packing, op7_sharding, op8_range_join, op9_toxicity, op10_piece_bpe)
+    return {f.__name__: f for f in ops}
+
+
+RANGE_JOIN_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.x, b.x) / (a.norm * b.norm) >= 0.98
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION
+  SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.other
+), parts AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM parts LEFT JOIN counts USING (vec_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_secrets": report_sql(train(labelled_samples())), "op8_range_join": RANGE_JOIN_SQL}
