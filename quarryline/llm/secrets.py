@@ -176,25 +176,25 @@ def report_sql(test: RandomTest) -> str:
         quoted = "'" + pattern.replace("'", "''") + "'"
         hits = f"regexp_extract_all(t, {quoted})"
         # gap lengths and hit lengths alternate; a hit's start is the sum of all lengths before it
-        lengths = f"list_transform(string_split_regex(t, {quoted}), x -> length(x))"
-        return f"list_filter(list_transform(range(1, len({hits}) + 1), i -> {{'start': CAST(list_sum(list_slice({lengths}, 1, i)) + coalesce(list_sum(list_slice(list_transform({hits}, x -> length(x)), 1, i - 1)), 0) AS INT), 'kind': {number}, 'hit': {hits}[i]}}), s -> {passes})"
+        lengths = f"list_transform(string_split_regex(t, {quoted}), lambda x: length(x))"
+        return f"list_filter(list_transform(range(1, len({hits}) + 1), lambda i: {{'start': CAST(list_sum(list_slice({lengths}, 1, i)) + coalesce(list_sum(list_slice(list_transform({hits}, lambda x: length(x)), 1, i - 1)), 0) AS INT), 'kind': {number}, 'hit': {hits}[i]}}), lambda s: {passes})"
 
     quoted = "'" + ASSIGN.replace("'", "''") + "'"
     table = json.dumps(test.table)
-    llr = f"coalesce(list_sum(list_transform(range(1, length(s.hit)), k -> ({table})[(ascii(s.hit[k]) - {LOW}) * {WIDTH} + ascii(s.hit[k + 1]) - {LOW} + 1])), 0) >= {test.least}"
-    end = "list_transform({0}, s -> {{'start': s.start, 'kind': s.kind, 'end': CAST(s.start + length(s.hit) AS INT)}})"
+    llr = f"coalesce(list_sum(list_transform(range(1, length(s.hit)), lambda k: ({table})[(ascii(s.hit[k]) - {LOW}) * {WIDTH} + ascii(s.hit[k + 1]) - {LOW} + 1])), 0) >= {test.least}"
+    end = "list_transform({0}, lambda s: {{'start': s.start, 'kind': s.kind, 'end': CAST(s.start + length(s.hit) AS INT)}})"
     base = f"list_concat({spans(ASSIGN, 0, f'length(regexp_extract(s.hit, {quoted}, 2)) >= {ASSIGN_LEAST}')}, {spans(ACCESS, 1, 'true')}, {spans(HEX, 2, 'true')})"
     names = "['" + "','".join(KINDS) + "']"
-    join = "coalesce(array_to_string(list_transform({0}, s -> {1}[s.kind + 1] || ':' || s.start || ':' || s.end_), ','), '')"
+    join = "coalesce(array_to_string(list_transform({0}, lambda s: {1}[s.kind + 1] || ':' || s.start || ':' || s.end_), ','), '')"
     fixed = lambda x: end.format(x).replace("'end'", "'end_'")
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 found AS (SELECT doc_id, list_sort({fixed(base)}) AS base, {fixed(spans(CANDIDATE, 3, llr))} AS more FROM d),
-free AS (SELECT doc_id, base, list_filter(more, m -> len(list_filter(base, b -> b.start < m.end_ AND m.start < b.end_)) = 0) AS added FROM found)
+free AS (SELECT doc_id, base, list_filter(more, lambda m: len(list_filter(base, lambda b: b.start < m.end_ AND m.start < b.end_)) = 0) AS added FROM found)
 SELECT doc_id,
-  CAST(len(list_filter(base, s -> s.kind = 0)) AS BIGINT) AS n_assign,
-  CAST(len(list_filter(base, s -> s.kind = 1)) AS BIGINT) AS n_access,
-  CAST(len(list_filter(base, s -> s.kind = 2)) AS BIGINT) AS n_hex,
+  CAST(len(list_filter(base, lambda s: s.kind = 0)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(base, lambda s: s.kind = 1)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(base, lambda s: s.kind = 2)) AS BIGINT) AS n_hex,
   sha256({join.format("base", names)}) AS base_sha256,
   {join.format("list_sort(list_concat(base, added))", names)} AS spans,
   CAST(len(added) AS BIGINT) AS n_random

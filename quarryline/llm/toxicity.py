@@ -2,10 +2,9 @@
 
 Lexicon and pattern voters are drawn from labelled training rows: words and word beginnings that
 mark toxic texts, shouting, strings of exclamation marks, and a voter for clean texts that speaks
-where the lexicon is silent. A generative model estimates by expectation maximisation how often
-each voter speaks in toxic and in clean texts, without the labels; voters that agree more than
-their class explains share their weight. Its posterior labels train a linear classifier, and that
-is what scores texts.
+where all others are silent. A generative model estimates the voters' accuracies by expectation
+maximisation; voters that agree more than their class explains share their weight. Its posterior
+labels train a linear classifier, and that is what scores texts.
 """
 
 from __future__ import annotations
@@ -24,10 +23,13 @@ from .common import BATCH_ROWS, Memo, fanned_out, map_batches, text_or_empty, wr
 
 #: Labelled rows that a fit uses at most (the lowest seeded hashes of their keys).
 SAMPLE_ROWS = 20_000
-#: Lexicon voters, further features of the classifier, and least rows that a feature must occur in.
-VOTERS, FEATURES, LEAST_ROWS = 400, 2_000, 4
+#: Lexicon voters, further features of the classifier, and the least G statistic of either: of a
+#: million features that mark nothing, some dozens reach it by chance.
+VOTERS, FEATURES, LEAST_G = 400, 2_000, 18.0
+#: Toxic rows that a voter speaks in for each clean one, at least; patterns vote at any ratio.
+MOSTLY = 4
 #: Letters in the beginnings that count as features; words of up to that many letters are left out.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
 PATTERNS = ("!shout", "!marks")
 
@@ -81,40 +83,61 @@ class Classifier:
         return score
 
 
-def label_model(votes: np.ndarray, rounds: int = 50, entangled: float = 0.3) -> np.ndarray:
-    """Posterior probabilities of class 1 for rows of 0/1 votes.
+def label_model(votes: np.ndarray, right: np.ndarray, wrong: np.ndarray, rounds: int = 40, agreement: float = 0.25, entangled: float = 0.3, silence: float = 0.98, caution: float = 1.0) -> np.ndarray:
+    """Posterior probabilities of class 1 for rows of 0/1 votes, one column for each voter for class 1.
 
-    Column j speaks with probability a[j] in class 1 and b[j] in class 0. The last column is the
-    voter for class 0. Started from the majority, fitted by expectation maximisation; then the
-    correlations that remain between voters within the classes are measured, a voter's log
-    ratio is divided by one plus the sum of its correlations over `entangled`, and the model
-    is fitted once more.
+    A voter that speaks is right with its accuracy; one that is silent says nothing, but where all
+    are silent the voter for class 0 speaks, which is right with probability `silence`. Accuracies
+    are fitted by expectation maximisation: their prior is how often each voter was right and
+    wrong on labelled rows, and agreement with the posterior of the other voters (where it alone
+    spoke: of the voter for class 0) counts `agreement` of a label.
+    Then the correlations that remain between voters within the classes are measured; a
+    voter's log odds are divided by one plus the sum of its correlations over `entangled`, and the
+    model is fitted once more.
     """
     n, m = votes.shape
-    p = np.where(votes[:, -1] > 0, 0.02, 0.98)
-    weight = np.ones(m)
+    row, col = np.nonzero(votes)
+    spoke = np.bincount(row, minlength=n)
+    quiet = np.log((1 - silence) / silence)
+    weight, accuracy = np.ones(m), np.clip((right + 1) / (right + wrong + 2), 0.05, 0.98)
+
+    def posterior(z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
     for last in (False, True):
         for _ in range(rounds):
-            ones, zeros = p.sum(), (1 - p).sum()
-            a = (p @ votes + 0.5) / (ones + 1)
-            b = ((1 - p) @ votes + 0.5) / (zeros + 1)
-            prior = (ones + 1) / (n + 2)
-            spoke, silent = np.log(a / b) * weight, np.log((1 - a) / (1 - b)) * weight
-            z = np.log(prior / (1 - prior)) + votes @ (spoke - silent) + silent.sum()
-            new = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            done = np.abs(new - p).max() < 1e-6
-            p = new
+            odds = weight * np.log(accuracy / (1 - accuracy))
+            z = np.where(spoke > 0, np.bincount(row, odds[col], n) - caution, quiet)
+            others = posterior(np.where(spoke[row] > 1, z[row] - odds[col], quiet))
+            new = np.clip((agreement * np.bincount(col, others, m) + right + 1) / (agreement * np.bincount(col, minlength=m) + right + wrong + 2), 0.05, 0.98)
+            done = np.abs(new - accuracy).max(initial=0) < 1e-6
+            accuracy = new
             if done:
                 break
+        p = posterior(z)
         if not last:
+            a = (p @ votes + 0.5) / (p.sum() + 1)
+            b = ((1 - p) @ votes + 0.5) / (n - p.sum() + 1)
             rest = votes - (p[:, None] * a + (1 - p[:, None]) * b)
             spread = np.sqrt((rest**2).sum(0)) + 1e-9
-            both = np.abs(rest.T @ rest) / spread[:, None] / spread[None, :]
+            both = rest.T @ rest / spread[:, None] / spread[None, :]
             np.fill_diagonal(both, 0)
             weight = 1 / (1 + np.where(both > entangled, both, 0).sum(1))
     return p
 
 
+def apart(found: list[str], most: int) -> list[str]:
+    """The first `most` features of a list none of which begins another: a word and its beginnings are one voter."""
+    out: list[str] = []
+    stems: set[str] = set()
+    for f in found:
+        stem = f.rstrip("*")
+        if not any(stem[:n] in stems for n in range(1, len(stem) + 1)) and not any(x.startswith(stem) for x in stems):
+            out.append(f)
+            stems.add(stem)
+    return out[:most]
+
+
 def train_linear(rows: list[np.ndarray], width: int, target: np.ndarray, steps: int = 300, decay: float = 1e-4, rate: float = 0.3) -> tuple[np.ndarray, float]:
     """Logistic regression on sets of feature numbers with soft targets; full batches, Adam, fixed start."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -134,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """Fit on at most sample_rows labelled rows that aren't held out.
 
     Rows with a null key or label are left out; of several labels of a key the highest counts, of
-    several texts each is a row. If the sample lacks toxic or clean rows, the classifier scores
+    several texts each is a row, and equal texts are one row. If the sample lacks toxic or clean rows, the classifier scores
     every text as clean. Only counts of features, the chosen features (a bounded number) and the
     sample's feature numbers reach the driver.
     """
@@ -143,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("id")).agg((F.max(label) > 0).cast("int").alias("y"))
     chosen = spark.createDataFrame([tuple(r) for r in marked.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample_rows).collect()], marked.schema)
     # At most sample_rows rows of two numbers.
-    sample = written(docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), "id"), "labelled")
+    sample = written(docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), "id").groupBy("text").agg(F.max("y").alias("y"), F.min("id").alias("id")), "labelled")
     n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if positive == 0 or positive == n:
         return Classifier()
@@ -166,23 +189,25 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         yield from told()
 
     tally = fanned_out(sample.select("text", "y")).mapInArrow(count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    odds = F.log((F.col("pos") + 0.5) / (positive + 1)) - F.log((F.col("neg") + 0.5) / (n - positive + 1))
-    tally = written(tally.where(F.col("pos") + F.col("neg") >= LEAST_ROWS).withColumn("odds", odds), "features")
-    lexicon = [r[0] for r in tally.where((F.col("pos") >= 3) & (F.col("pos") >= 2 * F.col("neg"))).orderBy(F.desc(F.col("pos") * F.col("odds")), "feature").limit(VOTERS).collect()]
-    others = [r[0] for r in tally.orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("pos") + F.col("neg"))), "feature").limit(FEATURES).collect()]
-    names = list(dict.fromkeys([*lexicon, *(p for p in PATTERNS if p not in lexicon), *others]))
+    rows = F.col("pos") + F.col("neg")
+    part = lambda seen, share: F.when(seen > 0, seen * F.log(seen / (rows * share))).otherwise(0.0)
+    g = 2 * (part(F.col("pos"), positive / n) + part(F.col("neg"), 1 - positive / n))
+    tally = written(tally.withColumn("g", g).where(F.col("g") >= LEAST_G), "features")
+    seen = {r[0]: (r[1], r[2]) for r in tally.where((F.col("pos") >= F.col("neg") * MOSTLY) | F.col("feature").isin(*PATTERNS)).orderBy(F.desc("g"), "feature").limit(FEATURES).select("feature", "pos", "neg").collect()}
+    lexicon = apart(list(seen), VOTERS)
+    others = [r[0] for r in tally.orderBy(F.desc("g"), "feature").limit(FEATURES).collect()]
+    names = list(dict.fromkeys([*lexicon, *others]))
     at = {f: i for i, f in enumerate(names)}
 
     def numbers():
         return lambda texts: {"found": [sorted(at[f] for f in features(t) if f in at) for t in texts]}
 
     found = [np.array(r["found"], np.int64) for r in map_batches(fanned_out(sample), numbers, "text", "found array<int>", ("id",)).orderBy("id", "found").collect()]
-    voters = len([f for f in names if f in PATTERNS or f in set(lexicon)])
-    votes = np.zeros((len(found), voters + 1))
+    voters = {at[f]: i for i, f in enumerate(lexicon)}
+    votes = np.zeros((len(found), len(voters)), np.float32)
     for i, f in enumerate(found):
-        votes[i, f[f < voters]] = 1
-    votes[:, voters] = votes[:, :voters].sum(1) == 0
-    target = label_model(votes)
+        votes[i, [voters[x] for x in f.tolist() if x in voters]] = 1
+    target = label_model(votes, np.array([seen[f][0] for f in lexicon]), np.array([seen[f][1] for f in lexicon]))
     w, bias = train_linear(found, len(names), target)
     return Classifier({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, bias)
 
