@@ -10,8 +10,9 @@ the longer one.
 Groups never become pairs. Equal word sequences are one node. In each bucket of equal sketches
 all nodes are aligned with the smallest one; what that links is one component. Only buckets that
 still hold several components are looked at again, in tasks of two bounded blocks: there, nodes
-of different components are aligned unless their word histograms prove them apart (one edit
-moves a histogram by 2 at most), and a link ends the comparison of its two components.
+of different components are aligned unless their word histograms (one edit moves a histogram by 2
+at most) or the triangle inequality proves them apart, and a link ends the comparison of its two
+components.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from .common import BATCH_ROWS, fanned_out, map_batches, text_or_empty, written
 from .components import components
 
 #: Words in a k-mer, least similarity, k-mers in a sketch, sketches, and nodes in a block.
-K, SIMILARITY, LENGTH, SKETCHES, BLOCK = 5, 0.8, 3, 20, 256
+K, SIMILARITY, LENGTH, SKETCHES, BLOCK = 5, 0.8, 3, 20, 128
+#: Nodes of a component in a task from which on a pivot pays.
+PIVOT_NODES = 4
 BINS = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -114,7 +117,7 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         got = _band(a.tolist(), b.tolist(), width)
         if got <= width or width == most:
             return min(got, most + 1)
-        width = min(most, width * 4)
+        width = most if width >= 32 else min(most, 32)
 
 
 def _band(a: list[int], b: list[int], most: int) -> int:
@@ -156,6 +159,53 @@ def linked(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool
     return banded_distance(a, b, most) <= most
 
 
+def settled(task: pa.Table, draws: np.ndarray, turn: int, similarity: float) -> np.ndarray:
+    """Links between components within one task, as many as connect them.
+
+    A pair of nodes is compared only in the task of the first draw that they share. Besides the
+    word histograms, a pivot proves nodes apart: of a component with several nodes here, distances
+    to its first node are known, and by the triangle inequality a node far from the pivot is far
+    from all that are near it.
+    """
+    ids, home = task.column("id").to_numpy(), task.column("part").to_numpy()
+    parts = home.copy()
+    texts = [np.frombuffer(c, np.uint32) for c in task.column("codes").to_pylist()]
+    lengths = np.array([len(t) for t in texts])
+    words = np.array([np.bincount(t % BINS, minlength=BINS) for t in texts], np.int32).reshape(-1, BINS)
+    pivots: dict[int, tuple[int, dict[int, int]]] = {}
+    for part, n in zip(*np.unique(home, return_counts=True), strict=True):
+        if n >= PIVOT_NODES:
+            at = np.flatnonzero(home == part)
+            own = {int(v): banded_distance(texts[at[0]], texts[v], allowed(lengths[at[0]], lengths[v], similarity)) for v in at}
+            pivots[int(part)] = int(at[0]), {v: d for v, d in own.items() if d <= allowed(lengths[at[0]], lengths[v], similarity)}
+    to_pivot: dict[tuple[int, int], int] = {}
+
+    def least(x: int, y: int) -> int:
+        """A lower bound of the distance of x and y by the pivot of y's component."""
+        pivot, own = pivots.get(int(home[y]), (0, {}))
+        if y not in own or home[x] == home[y]:
+            return 0
+        key = x, int(home[y])
+        if key not in to_pivot:
+            to_pivot[key] = banded_distance(texts[x], texts[pivot], allowed(lengths[x], lengths[pivot], similarity) + max(own.values()))
+        return to_pivot[key] - own[y]
+
+    found = []
+    for i in range(len(ids)):
+        rest = slice(i + 1, None)
+        most = ((1 - similarity) * np.maximum(lengths[i], lengths[rest]) + 1e-9).astype(np.int64)
+        possible = (parts[rest] != parts[i]) & (np.abs(lengths[rest] - lengths[i]) <= most)
+        possible &= np.argmax(draws[rest] == draws[i], axis=1) == turn
+        js = np.flatnonzero(possible)
+        if len(js):
+            js = js[np.abs(words[i + 1 + js] - words[i]).sum(1) <= 2 * most[js]]
+        for j, edits in zip((js + i + 1).tolist(), most[js].tolist(), strict=True):
+            if parts[i] != parts[j] and least(i, j) <= edits and least(j, i) <= edits and linked(texts[i], texts[j], similarity):
+                found.append((ids[i], ids[j]))
+                parts[parts == parts[j]] = parts[i]
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, length: int = LENGTH, sketches: int = SKETCHES, seed: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: key, class_id (the smallest key of its class), kept (its key is that and it is the first such row).
 
@@ -193,7 +243,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     pairs = shared.where("id <> lead").select("lead", "id").distinct()
     involved = shared.select("id").distinct()
     # A key with several texts has a row for each of them.
-    codes = written(nodes.select("id", "codes").join(involved, "id", "left_semi"), "codes")
+    codes = written(nodes.select("id", "codes", "drawn").join(involved, "id", "left_semi"), "codes")
     ends = codes.select(F.col("id").alias("lead"), F.col("codes").alias("lead_codes"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +251,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
             keep = [linked(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), similarity) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(codes, "id").join(ends, "lead").select(F.col("id").alias("a"), F.col("lead").alias("b"), "codes", "lead_codes")
+    both = pairs.join(codes.drop("drawn"), "id").join(ends, "lead").select(F.col("id").alias("a"), F.col("lead").alias("b"), "codes", "lead_codes")
     star = written(both.mapInArrow(verify, "a long, b long"), "star")
 
     # Buckets that still hold several components.
@@ -220,26 +270,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     left, right = units.select("bucket", F.col("unit").alias("i")), units.select("bucket", F.col("unit").alias("j"))
     apart = F.col("i.own").isNull() | F.col("j.own").isNull() | (F.col("i.own") != F.col("j.own"))
     tasks = left.join(right, "bucket").where((F.col("i") <= F.col("j")) & apart).select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("unit"))
-    work = tasks.join(dealt, ["bucket", "unit"]).join(codes, "id").select("bucket", "i", "j", "id", "part", "codes")
+    work = tasks.join(dealt, ["bucket", "unit"]).join(codes, "id").select("bucket", "i", "j", "id", "part", "codes", "drawn")
 
     def settle(task: pa.Table) -> pa.Table:
-        ids, parts = task.column("id").to_numpy(), task.column("part").to_numpy().copy()
-        texts = [np.frombuffer(c, np.uint32) for c in task.column("codes").to_pylist()]
-        lengths = np.array([len(t) for t in texts])
-        words = np.stack([np.bincount(t % BINS, minlength=BINS) for t in texts]).astype(np.int32)
-        found = []
-        for i in range(len(ids)):
-            most = ((1 - similarity) * np.maximum(lengths[i], lengths[i + 1 :]) + 1e-9).astype(np.int64)
-            possible = (parts[i + 1 :] != parts[i]) & (np.abs(lengths[i + 1 :] - lengths[i]) <= most)
-            js = np.flatnonzero(possible)
-            if len(js):
-                js = js[np.abs(words[i + 1 + js] - words[i]).sum(1) <= 2 * most[js]] + i + 1
-            for j in js:
-                if parts[i] != parts[j] and linked(texts[i], texts[j], similarity):
-                    found.append((ids[i], ids[j]))
-                    parts[parts == parts[j]] = parts[i]
-        links = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table({"a": links[:, 0], "b": links[:, 1]})
+        bucket = task.column("bucket")[0].as_py()
+        draws = np.array(task.column("drawn").to_pylist(), np.int64)
+        turn = int(np.argmax((draws == bucket).any(0)))
+        here = np.flatnonzero(draws[:, turn] == bucket)  # not the other texts of a key
+        return pa.table(dict(zip("ab", settled(task.take(here), draws[here], turn, similarity).T, strict=True)))
 
     more = written(work.groupBy("bucket", "i", "j").applyInArrow(settle, "a long, b long"), "more")
     classes = components(star.unionByName(more).unionByName(copies).distinct())

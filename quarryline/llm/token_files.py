@@ -30,10 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, Memo, text_or_empty, work_path
 
-#: Bytes of text that one part should hold.
-PART_BYTES = 64 << 20
-#: These end a chunk: no token holds white space, and nothing before one bears on what comes after it.
-CHUNK = re.compile(r"[^ \n\t\r]+")
+#: A chunk ends at white space, which no token holds, or between a word of plain letters and a stop,
+#: which the pre-tokenizer always parts. Nothing before such a place bears on what comes after it.
+CHUNK = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!? \n])|[^ \n\t\r]+")
 
 
 class ChunkEncoder:
@@ -77,19 +76,18 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else f"file://{uri}")
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, text: str = "text", key: str = "doc_id", part_bytes: int = PART_BYTES) -> TokenFiles:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, text: str = "text", key: str = "doc_id", parts: int | None = None) -> TokenFiles:
     """Write the ids of all documents in ascending key order, each followed by end_id.
 
     A null text counts as empty and has just end_id. Null keys come first; documents with equal
     keys are ordered by a hash of the text. Only the manifest, a row for each part, comes to the
-    driver. The input is shuffled once, by range of key.
+    driver. The input is shuffled once, by range of key, into as many parts as it is read in.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     folder = folder or work_path(spark, "token-files")
     rows = docs.select(F.col(key).cast("long").alias("k"), text_or_empty(text).alias("t"))
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(spark.sparkContext.defaultParallelism, -(-total // part_bytes))
+    n = parts or max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
@@ -119,20 +117,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
 
     tie = F.xxhash64("t")
     manifest = rows.repartitionByRange(n, F.col("k").asc_nulls_first(), tie).sortWithinPartitions(F.col("k").asc_nulls_first(), tie).mapInArrow(write, "part int, name string, docs long, ids long").collect()
-    parts, base = [], 0
+    known, base = [], 0
     for number, row in enumerate(sorted(manifest, key=lambda r: r["part"])):
-        parts.append((number, row["name"], row["docs"], row["ids"], base))
+        known.append((number, row["name"], row["docs"], row["ids"], base))
         base += row["ids"]
-    return TokenFiles(folder, ChunkUnit.of(tokenizer_path), tuple(parts))
-
-
-class ChunkUnit:
-    """The width of the ids by the tokenizer's vocabulary."""
-
-    @staticmethod
-    @functools.lru_cache(maxsize=4)
-    def of(path: str) -> str:
-        return _encoder(path).unit.str
+    return TokenFiles(folder, _encoder(tokenizer_path).unit.str, tuple(known))
 
 
 def _mapped(store: fs.FileSystem, path: str, unit: str) -> np.ndarray:
