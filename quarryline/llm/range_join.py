@@ -40,16 +40,16 @@ def usable(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     return rows
 
 
-def choose_pivots(rows: DataFrame, seed: int) -> dict:
+def choose_pivots(rows: DataFrame, seed: int, cell: int = CELL) -> dict:
     """Pivots of each label: a bounded number of its vectors, spread by a seeded hash.
 
-    The count for a label is its rows over CELL, PIVOTS at most; which vectors serve as pivots
+    The count for a label is its rows over `cell`, PIVOTS at most; which vectors serve as pivots
     bears on speed only.
     """
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > CELL).orderBy(F.desc("n")).limit(LABELS).collect()}
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > cell).orderBy(F.desc("n")).limit(LABELS).collect()}
     if not counts:
         return {}
-    wanted = rows.sparkSession.createDataFrame([(k, min(PIVOTS, -(-n // CELL)) / n, min(PIVOTS, -(-n // CELL))) for k, n in counts.items()], rows.select("label").schema.add("share", "double").add("most", "int"))
+    wanted = rows.sparkSession.createDataFrame([(k, min(PIVOTS, -(-n // cell)) / n, min(PIVOTS, -(-n // cell))) for k, n in counts.items()], rows.select("label").schema.add("share", "double").add("most", "integer"))
     draw = (F.xxhash64(F.lit(seed), "id") / float(1 << 63) + 1) / 2
     picked = rows.join(F.broadcast(wanted), "label").where(draw < F.col("share") * 2).select("label", "most", F.transform("x", lambda v: v / F.col("norm")).alias("x"))
     out: dict = {}
@@ -62,7 +62,7 @@ def choose_pivots(rows: DataFrame, seed: int) -> dict:
     return {k: np.stack(v) for k, v in out.items() if len(v) > 1}
 
 
-def near_links(vectors: DataFrame, cosine: float, key: str = "vec_id", vector: str = "embedding", label: str = "label", seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def near_links(vectors: DataFrame, cosine: float, key: str = "vec_id", vector: str = "embedding", label: str = "label", seed: int = 7, cell: int = CELL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Counts of links of every linked vector, and links that connect the same vectors as all links do.
 
     Returns (id, n_links) and (a, b). Links within a task are reduced to a spanning forest before
@@ -74,7 +74,7 @@ def near_links(vectors: DataFrame, cosine: float, key: str = "vec_id", vector: s
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(4 * BATCH_ROWS))
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
     rows = written(usable(vectors, key, vector, label).withColumn("dim", F.size("x")), "vectors")
-    pivots = choose_pivots(rows, seed)
+    pivots = choose_pivots(rows, seed, cell)
     shared = spark.sparkContext.broadcast(pivots)
     kind = rows.schema["label"].dataType.simpleString()
 
@@ -102,7 +102,7 @@ def near_links(vectors: DataFrame, cosine: float, key: str = "vec_id", vector: s
 
     placed = written(rows.mapInArrow(place, f"id long, label {kind}, dim int, x array<double>, norm double, cell int, native boolean"), "cells")
     group = ["label", "dim", "cell"]
-    sizes = placed.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = placed.groupBy(*group).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = placed.join(sizes, group).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.col("blocks")).cast("int"))
     # A pair of blocks (i, j), i <= j, is one task; a vector of block k goes to the pairs that hold k.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -152,12 +152,12 @@ def near_links(vectors: DataFrame, cosine: float, key: str = "vec_id", vector: s
     return found.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links")), found.where("n = 0").select("a", "b")
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """One row per vector: key, n_links long, component_id long, kept boolean (it is its component's smallest key).
 
     Unlinked rows, null keys too, have 0 links and their own key as component; a null key is kept.
     """
-    counts, links = near_links(vectors, cosine, key, vector, label)
+    counts, links = near_links(vectors, cosine, key, vector, label, cell=cell, block=block)
     parts = components(links)
     own = F.col("id")
     return (

@@ -1,0 +1,56 @@
+import math
+
+import numpy as np
+import pytest
+
+from quarryline.llm import queries
+from quarryline.llm.components import components
+from quarryline.llm.range_join import near_vectors
+from oracle import same
+
+
+def brute(rows, cosine):
+    ok = {i: np.array(x, float) for i, x, lab in rows if i is not None and lab is not None and x and all(v is not None and math.isfinite(v) for v in x) and any(x)}
+    label = {i: lab for i, _, lab in rows}
+    links = {i: set() for i in ok}
+    for i in ok:
+        for j in ok:
+            if i != j and label[i] == label[j] and len(ok[i]) == len(ok[j]) and ok[i] @ ok[j] / (math.sqrt(ok[i] @ ok[i]) * math.sqrt(ok[j] @ ok[j])) >= cosine:
+                links[i].add(j)
+    out = {}
+    for i, _, _ in rows:
+        seen, todo = {i}, [i]
+        while todo:
+            for j in links.get(todo.pop(), ()):
+                if j not in seen:
+                    seen.add(j), todo.append(j)
+        out[i] = (len(links.get(i, ())), None if i is None else min(seen), i is None or min(seen) == i)
+    return out
+
+
+@pytest.mark.parametrize("cell,block", [(4096, 2048), (20, 2048), (20, 7)])
+def test_equals_brute_force(spark, cell, block):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(30, 8))
+    rows = []
+    for i in range(180):
+        x = base[i % 30] + rng.normal(scale=0.09, size=8) * (i > 60)
+        rows.append((i, [float(v) for v in np.float32(x)], i % 2 if i % 30 else 5))
+    rows += [(900, None, 1), (901, [0.0] * 8, 1), (902, [float("nan")] * 8, 1), (903, [None] * 8, 1), (904, [1.0] * 8, None), (905, [1.0], 1), (906, [float("inf")] * 8, 1), (None, [1.0] * 8, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(df, 0.98, cell=cell, block=block).collect()}
+    assert got == brute(rows, 0.98)
+
+
+def test_empty(spark):
+    assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_query_equals_sql(spark, sf):
+    same(spark, sf, queries.op8_range_join, queries.oracle_sql()["op8_range_join"])
+
+
+def test_components_of_a_long_path(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 99)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components(links).collect()}
+    assert got == {i: 0 for i in range(41)} | {99: 99, 100: 99}
