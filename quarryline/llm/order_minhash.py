@@ -89,11 +89,12 @@ def sketch(codes: np.ndarray, k: int = K, length: int = LENGTH, sketches: int =
     return out.view(np.int64)
 
 
-def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
+def banded_distance(a: np.ndarray, b: np.ndarray, most: int, near: bool = True) -> int:
     """Edit distance of two sequences, or most + 1 if it is larger.
 
     Bit-parallel over a band of 2 * most + 1 diagonals that moves down by one with each element
     of the longer sequence: an integer holds the band's vertical differences of one column.
+    near: try narrow bands first, which pays for near copies.
     """
     if len(a) > len(b):
         a, b = b, a
@@ -111,8 +112,7 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         return len(b)
     if most == 0:
         return 1
-    # Narrow bands first: near copies need little.
-    width = min(most, max(len(b) - len(a), 8))
+    width = min(most, max(len(b) - len(a), 8)) if near else most
     while True:
         got = _band(a.tolist(), b.tolist(), width)
         if got <= width or width == most:
@@ -154,9 +154,9 @@ def allowed(n: int, m: int, similarity: float) -> int:
     return int((1 - similarity) * max(n, m) + 1e-9)
 
 
-def linked(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, near: bool = True) -> bool:
     most = allowed(len(a), len(b), similarity)
-    return banded_distance(a, b, most) <= most
+    return banded_distance(a, b, most, near) <= most
 
 
 def settled(task: pa.Table, draws: np.ndarray, turn: int, similarity: float) -> np.ndarray:
@@ -187,7 +187,7 @@ def settled(task: pa.Table, draws: np.ndarray, turn: int, similarity: float) ->
             return 0
         key = x, int(home[y])
         if key not in to_pivot:
-            to_pivot[key] = banded_distance(texts[x], texts[pivot], allowed(lengths[x], lengths[pivot], similarity) + max(own.values()))
+            to_pivot[key] = banded_distance(texts[x], texts[pivot], allowed(lengths[x], lengths[pivot], similarity) + max(own.values()), near=False)
         return to_pivot[key] - own[y]
 
     found = []
@@ -200,7 +200,7 @@ def settled(task: pa.Table, draws: np.ndarray, turn: int, similarity: float) ->
         if len(js):
             js = js[np.abs(words[i + 1 + js] - words[i]).sum(1) <= 2 * most[js]]
         for j, edits in zip((js + i + 1).tolist(), most[js].tolist(), strict=True):
-            if parts[i] != parts[j] and least(i, j) <= edits and least(j, i) <= edits and linked(texts[i], texts[j], similarity):
+            if parts[i] != parts[j] and least(i, j) <= edits and least(j, i) <= edits and linked(texts[i], texts[j], similarity, near=False):
                 found.append((ids[i], ids[j]))
                 parts[parts == parts[j]] = parts[i]
     return np.array(found, np.int64).reshape(-1, 2)
