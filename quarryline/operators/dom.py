@@ -221,7 +221,8 @@ def find(root: Element, selector: str) -> Element | None:
         elif kind == "previous":
             node = node.previous()
         elif kind == "next":
-            node = next((e for e in node.after() if _compound(test)(e)), None)
+            (fits,) = _path(test)
+            node = next((e for e in node.after() if fits(e)), None)
         elif kind == "in":
             node = next(select(node, test), None)
         else:

@@ -18,6 +18,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a small table is one file: HTML work is worth more than that shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -186,12 +192,12 @@ def merge_with_previous(spark, sf):
 
 @query()
 def text_strip(spark, sf):
-    return _t(spark, sf, "pages").repartition(spark.sparkContext.defaultParallelism).select("page_id", body_text("html").alias("text"))
+    return _spread(_t(spark, sf, "pages").select("page_id", "html")).select("page_id", body_text("html").alias("text"))
 
 
 @query()
 def spec_table(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", F.explode_outer(spec_rows("html")).alias("row")).select("page_id", "row.*")
+    return _spread(_t(spark, sf, "pages").select("page_id", "html")).select("page_id", F.explode_outer(spec_rows("html")).alias("row")).select("page_id", "row.*")
 
 
 #: A page of each site, to be filled with name, price, size and brand of a part.
@@ -226,7 +232,8 @@ def generated_pages(spark, sf, site: str) -> DataFrame:
     """A page of the site for each part."""
     where, body = TEMPLATES[site]
     url = F.concat(F.lit(f"https://{where}/p/"), F.col("p_partkey").cast("string"))
-    return _t(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), url.alias("url"), F.format_string(body, "p_name", "p_retailprice", "p_size", "p_brand").alias("html"))
+    part = _spread(_t(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice", "p_size", "p_brand"))
+    return part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), F.format_string(body, "p_name", "p_retailprice", "p_size", "p_brand").alias("html"))
 
 
 def _add_extract(site: str) -> None:
