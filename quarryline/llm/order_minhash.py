@@ -160,7 +160,7 @@ def linked(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, near: b
 
 
 def settled(task: pa.Table, draws: np.ndarray, turn: int, similarity: float) -> np.ndarray:
-    """Links between components within one task, as many as connect them.
+    """Links between components within one task, as many as connect them, as pairs of their labels.
 
     A pair of nodes is compared only in the task of the first draw that they share. Besides the
     word histograms, a pivot proves nodes apart: of a component with several nodes here, distances
@@ -201,7 +201,7 @@ def settled(task: pa.Table, draws: np.ndarray, turn: int, similarity: float) ->
             js = js[np.abs(words[i + 1 + js] - words[i]).sum(1) <= 2 * most[js]]
         for j, edits in zip((js + i + 1).tolist(), most[js].tolist(), strict=True):
             if parts[i] != parts[j] and least(i, j) <= edits and least(j, i) <= edits and linked(texts[i], texts[j], similarity, near=False):
-                found.append((ids[i], ids[j]))
+                found.append((home[i], home[j]))
                 parts[parts == parts[j]] = parts[i]
     return np.array(found, np.int64).reshape(-1, 2)
 
@@ -233,7 +233,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
     prepared = written(map_batches(fanned_out(rows), make, "text", "seq binary, codes binary, drawn array<long>", ("id",)), "sketches")
     members = prepared.groupBy("seq").agg(F.min("id").alias("node"))
-    copies = prepared.select("id", "seq").join(members, "seq").select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b")
+    # The node of each key; a key with several texts links their nodes.
+    held = written(prepared.select("id", "seq").join(members, "seq").select("id", "node").distinct(), "held")
+    node_of = held.groupBy("id").agg(F.min("node").alias("node"))
+    several = held.select("id", F.col("node").alias("a")).join(node_of, "id").select("a", F.col("node").alias("b")).where("a <> b")
     nodes = prepared.join(members.select(F.col("node").alias("id"), "seq"), ["id", "seq"], "left_semi")
 
     # Star: each node of a bucket with the bucket's smallest.
@@ -255,7 +258,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     star = written(both.mapInArrow(verify, "a long, b long"), "star")
 
     # Buckets that still hold several components.
-    label = components(star)
+    label = components(star.unionByName(several))
     labelled = shared.select("bucket", "id").join(label.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
     mixed = labelled.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("bucket")
     open_rows = written(labelled.join(mixed, "bucket", "left_semi"), "open")
@@ -280,6 +283,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
         return pa.table(dict(zip("ab", settled(task.take(here), draws[here], turn, similarity).T, strict=True)))
 
     more = written(work.groupBy("bucket", "i", "j").applyInArrow(settle, "a long, b long"), "more")
-    classes = components(star.unionByName(more).unionByName(copies).distinct())
-    out = docs.select(F.col(key).cast("long").alias("id"))
-    return out.join(classes.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias(key), F.coalesce("component", "id").alias("class_id"), F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
+    # Components of components; what has no further links keeps its label.
+    joined = components(more.distinct()).select(F.col("node").alias("part"), F.col("component").alias("class"))
+    named = node_of.join(label.select("node", F.col("component").alias("part")), "node", "left").select("id", F.coalesce("part", "node").alias("part"))
+    classes = named.join(joined, "part", "left").select("id", F.coalesce("class", "part").alias("class_id"))
+    out = docs.select(F.col(key).cast("long").alias("id")).join(classes, "id", "left")
+    return out.select(F.col("id").alias(key), "class_id", F.coalesce(F.col("class_id") == F.col("id"), F.lit(True)).alias("kept"))
