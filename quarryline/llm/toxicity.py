@@ -122,7 +122,8 @@ def label_model(votes: np.ndarray, right: np.ndarray, wrong: np.ndarray, rounds:
             spread = np.sqrt((rest**2).sum(0)) + 1e-9
             both = rest.T @ rest / spread[:, None] / spread[None, :]
             np.fill_diagonal(both, 0)
-            weight = 1 / (1 + np.where(both > entangled, both, 0).sum(1))
+            often = votes.sum(0)
+            weight = 1 / (1 + np.where((both > entangled) & (often[None, :] >= often[:, None] / 2), both, 0).sum(1))
     return p
 
 
@@ -138,8 +139,8 @@ def apart(found: list[str], most: int) -> list[str]:
     return out[:most]
 
 
-def train_linear(rows: list[np.ndarray], width: int, target: np.ndarray, steps: int = 300, decay: float = 1e-4, rate: float = 0.3) -> tuple[np.ndarray, float]:
-    """Logistic regression on sets of feature numbers with soft targets; full batches, Adam, fixed start."""
+def train_linear(rows: list[np.ndarray], width: int, target: np.ndarray, steps: int = 1000, decay: float = 1e-6, rate: float = 0.3) -> tuple[np.ndarray, float]:
+    """Logistic regression on sets of feature numbers with soft targets; full batches, Adam with a rate that falls to 0, fixed start."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows) if len(row) else np.empty(0, np.int64)
     w, moment, square = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
@@ -149,7 +150,7 @@ def train_linear(rows: list[np.ndarray], width: int, target: np.ndarray, steps:
         grad = np.append(np.bincount(col, off[row], width), off.sum()) / len(rows) + decay * np.append(w[:width], 0)
         moment = 0.9 * moment + 0.1 * grad
         square = 0.999 * square + 0.001 * grad**2
-        w -= rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        w -= rate * (1 - step / steps) * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return w[:width], float(w[width])
 
 
