@@ -5,7 +5,8 @@ labelled with its occurrence number, so repeats count) and keeps them in text or
 sketches thus speak for equal words in equal order, which is what edit similarity measures.
 Texts that share one of `sketches` such draws are candidates. A candidate pair is linked if the
 edit distance of the two word sequences, aligned within a band, is at most (1 - similarity) of
-the longer one.
+the longer one. K-mers are so short and draws so many that pairs at that very border meet in a
+draw; short texts, of whose k-mers a few edits spare none, have draws of single words besides.
 
 Groups never become pairs. Equal word sequences are one node. In each bucket of equal sketches
 all nodes are aligned with the smallest one; what that links is one component. Only buckets that
@@ -27,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, fanned_out, map_batches, text_or_empty, written
+from .common import BATCH_ROWS, drop_written, fanned_out, map_batches, text_or_empty, written
 from .components import components
 
 #: Words in a k-mer, least similarity, k-mers in a sketch, sketches, and nodes in a block.
-K, SIMILARITY, LENGTH, SKETCHES, BLOCK = 5, 0.8, 3, 20, 128
+K, SIMILARITY, LENGTH, SKETCHES, BLOCK = 3, 0.8, 2, 40, 128
+#: Texts of so many words at most have so many draws of single words besides.
+SHORT, SHORT_SKETCHES = 50, 16
 #: Nodes of a component in a task from which on a pivot pays.
 PIVOT_NODES = 4
 BINS = 256
@@ -54,7 +57,7 @@ def _seeds(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64)
 
 
-def kmers(codes: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+def kmers(codes: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the k-mers in text order and their occurrence numbers; a shorter text is one k-mer."""
     if not len(codes):
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
@@ -89,6 +92,12 @@ def sketch(codes: np.ndarray, k: int = K, length: int = LENGTH, sketches: int =
     return out.view(np.int64)
 
 
+def all_draws(codes: np.ndarray, k: int = K, length: int = LENGTH, sketches: int = SKETCHES, seed: int = 1) -> np.ndarray:
+    """The sketch of a text, followed by that of its single words if it is short."""
+    own = sketch(codes, k, length, sketches, seed)
+    return np.concatenate([own, sketch(codes, 1, length, SHORT_SKETCHES, seed + 1)]) if len(codes) <= SHORT else own
+
+
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int, near: bool = True) -> int:
     """Edit distance of two sequences, or most + 1 if it is larger.
 
@@ -225,7 +234,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
                 raw = codes.tobytes()
                 out["codes"].append(raw)
                 out["seq"].append(hashlib.blake2b(b" ".join(t.lower().encode().split()), digest_size=16).digest())
-                out["drawn"].append(sketch(codes, k, length, sketches, seed).tolist())
+                out["drawn"].append(all_draws(codes, k, length, sketches, seed).tolist())
             return out
 
         return apply
@@ -240,9 +249,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     nodes = prepared.join(members.select(F.col("node").alias("id"), "seq"), ["id", "seq"], "left_semi")
 
     # Star: each node of a bucket with the bucket's smallest.
-    drawn = written(nodes.select("id", F.explode(F.array_distinct("drawn")).alias("bucket")).distinct(), "buckets")
-    leads = drawn.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", "lead")
-    shared = written(drawn.join(leads, "bucket"), "shared")
+    drawn = written(nodes.select("id", F.explode(F.array_distinct("drawn")).alias("bucket")), "buckets")
+    leads = drawn.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("bucket", "lead")
+    shared = written(drawn.join(leads, "bucket").distinct(), "shared")
+    drop_written(drawn)
     pairs = shared.where("id <> lead").select("lead", "id").distinct()
     involved = shared.select("id").distinct()
     # A key with several texts has a row for each of them.
@@ -277,7 +287,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
 
     def settle(task: pa.Table) -> pa.Table:
         bucket = task.column("bucket")[0].as_py()
-        draws = np.array(task.column("drawn").to_pylist(), np.int64)
+        rows = task.column("drawn").to_pylist()
+        most = max(map(len, rows))
+        # The filler comes last, so it is no pair's first shared draw.
+        draws = np.array([d + [0] * (most - len(d)) for d in rows], np.int64)
         turn = int(np.argmax((draws == bucket).any(0)))
         here = np.flatnonzero(draws[:, turn] == bucket)  # not the other texts of a key
         return pa.table(dict(zip("ab", settled(task.take(here), draws[here], turn, similarity).T, strict=True)))

@@ -93,6 +93,47 @@ def test_classes_equal_brute_force(spark, monkeypatch, block):
     assert all(r["kept"] == (r["class_id"] is None or r["class_id"] == r["doc_id"]) for r in got)
 
 
+def edited(draw, words, rate):
+    """words with so many of them replaced, at random places."""
+    out = list(words)
+    for i in draw.sample(range(len(out)), int(rate * len(out) + 1e-9)):
+        out[i] = f"x{draw.randint(0, 10**9)}"
+    return out
+
+
+@pytest.mark.parametrize("rate, least", [(0.08, 1.0), (0.1, 1.0), (0.15, 1.0), (0.2, 0.95)])
+def test_recall_at_the_link_rule(rate, least):
+    draw = random.Random(5)
+    for n in (5, 10, 20, 50, 60, 200, 1000):
+        met = 0
+        for _ in range(100):
+            a = [f"w{draw.randint(0, 10**9)}" for _ in range(n)]
+            one, other = (om.all_draws(om.word_codes(" ".join(t))) for t in (a, edited(draw, a, rate)))
+            met += bool((one == other).any())
+        assert met >= least * 100, n
+
+
+def test_edited_texts_are_linked(spark):
+    draw = random.Random(6)
+    rows, want = [], {}
+    for g in range(200):
+        n = draw.choice([9, 20, 45, 55, 120, 300])
+        a = [f"w{draw.randint(0, 10**9)}" for _ in range(n)]
+        rows += [(2 * g, " ".join(a)), (2 * g + 1, " ".join(edited(draw, a, draw.uniform(0.08, 0.15))))]
+        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g}
+    got = om.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+
+
+def test_short_texts_beside_longer_ones(spark):
+    # Short ones have more draws; all three share the block tasks of one passage.
+    draw = random.Random(7)
+    base = [f"w{i}" for i in range(52)]
+    rows = [(i, " ".join(edited(draw, base[: draw.choice([44, 48, 50, 51, 52])], 0.12))) for i in range(40)]
+    got = om.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == brute(rows)
+
+
 def test_task_finds_the_links_that_connect():
     import pyarrow as pa
 
