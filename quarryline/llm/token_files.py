@@ -47,7 +47,6 @@ class ChunkEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.unit = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo = Memo(self.chunks, memo_entries)
 

@@ -57,6 +57,18 @@ def test_chunks_equal_whole_texts(texts):
     assert [np.frombuffer(e.encode(t), e.unit).tolist() for t in texts] == [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_special_tokens_as_the_plain_call(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(WORDS)
+    held = ["one<|endoftext|> two", "<|startoftext|>a b<|endoftext|>", "it's.<|endoftext|>,'s <|endof text|>", "<|ENDOFTEXT|> Foo<|startoftext|>\n\n b", "e<|endoftext|>\u0301 x"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in held]
+    assert want[0] == [637, 49407, 1237]
+    df = spark.createDataFrame(list(enumerate(held)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in read_token_files(spark, write_token_files(df, WORDS, 2)).collect()}
+    assert [got[i] for i in range(len(held))] == [[*w, 2] for w in want]
+
+
 def test_token_files(spark, texts):
     df = docs(spark, texts)
     files = write_token_files(df, WORDS, 2)
