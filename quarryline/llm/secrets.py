@@ -31,6 +31,7 @@ KINDS = ("assign", "access", "hex", "random")
 LOW, HIGH = ord("+"), ord("z")
 WIDTH = HIGH - LOW + 1
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+CANDIDATE_LEAST = 20
 
 #: Fixed words of which ordinary identifiers are made.
 WORDS = """account action address after archive before binary bottom branch buffer button cache change channel
@@ -114,8 +115,9 @@ def _spans(text: Column, pattern: str, number: int, passes) -> Column:
 def with_spans(docs: DataFrame, test: RandomTest, text: str = "text") -> DataFrame:
     """docs with _base and _added, sorted arrays of spans (start, kind, end) in code points, end exclusive.
 
-    _base holds the matches of the three patterns. _added holds candidates that the test takes for
-    random and that overlap no base span. A null or empty text has none. Other columns stay; the
+    _base holds the matches of the three patterns. Candidates are cut at the base spans that they
+    overlap; _added holds what remains of them, in parts that are long enough to be candidates,
+    where the test takes it for random. A null or empty text has none. Other columns stay; the
     two that are added replace columns of the same names. Narrow, no shuffle.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -125,9 +127,21 @@ def with_spans(docs: DataFrame, test: RandomTest, text: str = "text") -> DataFra
         _spans(body, ACCESS, 1, always),
         _spans(body, HEX, 2, always),
     )
-    added = _spans(body, CANDIDATE, 3, lambda hit: ratio(hit, test) >= test.least)
-    free = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return docs.withColumn("_base", F.array_sort(base)).withColumn("_added", F.filter(added, free))
+    span = lambda start, end: F.struct(start.alias("start"), F.lit(3).alias("kind"), end.alias("end"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+
+    def parts(c):
+        def cut(acc, b):
+            part = F.array(span(acc["at"], b["start"]))
+            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.when(b["start"] > acc["at"], F.concat(acc["found"], part)).otherwise(acc["found"]).alias("found"))
+
+        over = F.filter("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        last = lambda acc: F.concat(acc["found"], F.array(span(acc["at"], c["end"])))
+        return F.aggregate(over, F.struct(c["start"].alias("at"), none.alias("found")), cut, last)
+
+    tested = lambda s: (s["end"] - s["start"] >= CANDIDATE_LEAST) & (ratio(body.substr(s["start"] + 1, s["end"] - s["start"]), test) >= test.least)
+    added = F.filter(F.flatten(F.transform(_spans(body, CANDIDATE, 3, always), parts)), tested)
+    return docs.withColumn("_base", F.array_sort(base)).withColumn("_added", added)
 
 
 def listed(spans: Column) -> Column:
@@ -170,7 +184,10 @@ def redacted(docs: DataFrame, test: RandomTest, mark: str = "[secret]", text: st
 
 
 def report_sql(test: RandomTest) -> str:
-    """secret_report over a table `documents` as DuckDB SQL."""
+    """secret_report over a table `documents` as DuckDB SQL, for texts whose candidates overlap no base span in part.
+
+    It drops such a candidate whole, where secret_report tests what remains of it.
+    """
 
     def spans(pattern: str, number: int, passes: str) -> str:
         quoted = "'" + pattern.replace("'", "''") + "'"

@@ -56,6 +56,16 @@ def test_redacted(spark):
     assert RANDOM not in out[9] and out[9].endswith("get_current_user_session_token")
 
 
+def test_candidates_are_cut_at_base_spans(spark):
+    key, long = "AKIA" + "ABCDEFGH12345678", RANDOM + "Qw3Zr8TnB5yKc1Vd"
+    run = "0123456789abcdef" * 2
+    texts = [f"a {key}/{long} b", f"{run}_{long}", f"{long}-{run}", f"{long}/{key}/{long}", f"{key}/get_current_user_session_token", f"{key}/{RANDOM[:12]}"]
+    want = [f"access:2:22,random:22:{23 + len(long)}", f"hex:0:32,random:32:{33 + len(long)}", f"random:0:{len(long) + 1},hex:{len(long) + 1}:{len(long) + 33}", f"random:0:{len(long) + 1},access:{len(long) + 1}:{len(long) + 21},random:{len(long) + 21}:{2 * len(long) + 22}", "access:0:20", "access:0:20"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"] for r in sec.secret_report(df, TEST).collect()} == dict(enumerate(want))
+    assert not any(long in r["text"] for r in sec.redacted(df, TEST).collect())
+
+
 def test_native(spark, sf):
     plan = queries.op5_secrets(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
