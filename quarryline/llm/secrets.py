@@ -4,6 +4,9 @@ The test compares two character Markov models, of random strings and of ordinary
 by the logarithm of the ratio of the likelihoods that they give to a candidate. Both are trained
 from labelled samples; what a scan gets is one table of whole thousandths, so any engine that
 adds integers finds the same spans.
+
+The test sees runs of CANDIDATE_LEAST or more characters only: a random string of fewer, with no
+keyword before it and of no fixed pattern, is never scored and stays.
 """
 
 from __future__ import annotations
