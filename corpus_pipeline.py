@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import table, written
-from quarryline.llm.order_minhash import near_duplicates
+from quarryline.llm.order_minhash import kept_texts, text_hash
 from quarryline.llm.packing import n_tokens, packed
 from quarryline.llm.secrets import labelled_samples, redacted, train
 from quarryline.llm.toxicity import fit, with_scores
@@ -23,14 +23,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id.
+    """One row of each group of near duplicates: one with the smallest doc_id.
 
-    Rows that share a doc_id count as one document, of which one row stays; rows without a
-    doc_id all stay.
+    Rows count by their own texts, also where they share a doc_id; of rows with equal doc_id and
+    text the one with the smallest other columns stays. Rows without a doc_id all stay.
     """
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    hashed = docs.where("doc_id is not null").withColumn("text_hash", text_hash())
+    kept = hashed.join(kept_texts(docs), ["doc_id", "text_hash"], "left_semi")
+    known = kept.groupBy("doc_id", "text_hash").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return known.unionByName(docs.where("doc_id is null"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -223,6 +223,33 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     nothing: class_id is null and they are kept. Rows that share a key count as one document, so
     their texts are of one class. Other columns are dropped.
     """
+    prepared = _prepared(docs, k, length, sketches, seed, text, key)
+    classes = _classes(prepared, similarity, seed)
+    out = docs.select(F.col(key).cast("long").alias("id")).join(classes, "id", "left")
+    return out.select(F.col("id").alias(key), "class_id", F.coalesce(F.col("class_id") == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def text_hash(text: str = "text"):
+    """A 256-bit hash of a text; a null text counts as empty."""
+    return F.unhex(F.sha2(text_or_empty(text), 256))
+
+
+def kept_texts(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, length: int = LENGTH, sketches: int = SKETCHES, seed: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key and text_hash of one text of each class: that of the smallest key, then of the smallest hash.
+
+    Unlike near_duplicates, each row counts by its own text, so rows that share a key are of one
+    class only if their texts are. Rows with a null key are left out.
+    """
+    rows = docs.withColumn("text_hash", text_hash(text))
+    # Each row has a number of its own, fixed by being written, in place of its key.
+    prepared = _prepared(rows, k, length, sketches, seed, text, key, keep=("text_hash",))
+    classes = _classes(prepared.select(F.col("row").alias("id"), "seq", "codes", "drawn"), similarity, seed)
+    least = prepared.select(F.col("row").alias("id"), F.struct(F.col("id").alias(key), "text_hash").alias("own")).join(classes, "id").groupBy("class_id").agg(F.min("own").alias("own"))
+    return least.select("own.*")
+
+
+def _prepared(docs: DataFrame, k: int, length: int, sketches: int, seed: int, text: str, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id (the key), the columns keep, seq (a hash of the words), codes, drawn and row (a number of its own) of each row with a key; written."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -239,8 +266,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
 
         return apply
 
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
-    prepared = written(map_batches(fanned_out(rows), make, "text", "seq binary, codes binary, drawn array<long>", ("id",)), "sketches")
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), *keep, text_or_empty(text).alias("text"))
+    made = map_batches(fanned_out(rows), make, "text", "seq binary, codes binary, drawn array<long>", ("id", *keep))
+    return written(made.withColumn("row", F.monotonically_increasing_id()), "sketches")
+
+
+def _classes(prepared: DataFrame, similarity: float, seed: int) -> DataFrame:
+    """id and class_id, the smallest id of its class, of the rows of id, seq, codes and drawn; rows that share an id are of one class."""
     members = prepared.groupBy("seq").agg(F.min("id").alias("node"))
     # The node of each key; a key with several texts links their nodes.
     held = written(prepared.select("id", "seq").join(members, "seq").select("id", "node").distinct(), "held")
@@ -299,6 +331,4 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K,
     # Components of components; what has no further links keeps its label.
     joined = components(more.distinct()).select(F.col("node").alias("part"), F.col("component").alias("class"))
     named = node_of.join(label.select("node", F.col("component").alias("part")), "node", "left").select("id", F.coalesce("part", "node").alias("part"))
-    classes = named.join(joined, "part", "left").select("id", F.coalesce("class", "part").alias("class_id"))
-    out = docs.select(F.col(key).cast("long").alias("id")).join(classes, "id", "left")
-    return out.select(F.col("id").alias(key), "class_id", F.coalesce(F.col("class_id") == F.col("id"), F.lit(True)).alias("kept"))
+    return named.join(joined, "part", "left").select("id", F.coalesce("class", "part").alias("class_id"))

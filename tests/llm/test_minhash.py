@@ -155,6 +155,19 @@ def test_repeated_rows_and_empty(spark):
     assert om.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pipeline_keeps_other_texts_of_a_doc_id(spark):
+    import corpus_pipeline
+
+    words = [[f"t{t}w{i}" for i in range(30)] for t in range(4)]
+    one, two, three, four = (" ".join(w) for w in words)
+    near = " ".join([*words[1][:29], "other"])
+    rows = [(1, one, "a"), (2, one, "a"), (2, two, "a"), (3, two, "a"), (3, near, "a"), (3, three, "b"), (3, three, "a"), (4, near, "a"), (5, four, "a"), (None, one, "a"), (None, one, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicate(spark, docs, "").collect()]
+    want = [(1, one, "a"), (2, two, "a"), (3, three, "a"), (5, four, "a"), (None, one, "a"), (None, one, "a")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_whole_table(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r["doc_id"]: r["class_id"] for r in om.near_duplicates(df).collect()}
