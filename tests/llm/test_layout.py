@@ -1,12 +1,14 @@
 import itertools
 import random
+import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarryline.llm.packing import boundaries, n_tokens, packed
-from quarryline.llm.sharding import fisher_yates, write_shards
+from quarryline.llm.queries import op7_sharding
+from quarryline.llm.sharding import fisher_yates, numbers, write_shards
 
 
 def padding(histogram, uppers):
@@ -83,6 +85,30 @@ def test_fisher_yates(spark):
             a[i], a[j] = a[j], a[i]
         return a
 
-    df = spark.createDataFrame([(n,) for n in (1, 2, 3, 50)], "n int").withColumn("p", fisher_yates(F.col("n"), F.lit(5), F.col("n"))).withColumn("h", F.transform(F.sequence(F.lit(0), "n"), lambda i: F.xxhash64(F.lit(5), "n", i)))
+    h = F.transform(F.sequence(F.lit(0), "n"), lambda i: F.xxhash64(F.lit(5), "n", i))
+    df = spark.createDataFrame([(n,) for n in (1, 2, 3, 50, 300)], "n int").withColumn("p", numbers(fisher_yates(F.col("n"), F.lit(5), F.col("n")), F.col("n"))).withColumn("h", h)
     for r in df.collect():
         assert r["p"] == plain(r["n"], r["h"])
+
+
+def test_shards_of_equal_rows_and_clashing_names(spark):
+    many = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("bucket"), F.lit(2).alias("_order"), F.lit(3).alias("a.b"))
+    long = spark.createDataFrame([(1, "é" * 3_000_000, 1, 2, 3)], many.schema)
+    out = write_shards(many.unionByName(long), 7)
+    assert out.columns == [*many.columns, "slot", "shard"]
+    assert out.where("bucket = 1 and _order = 2 and `a.b` = 3").count() == 20_001 and out.where("length(text) = 3000000").count() == 1
+    by = out.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert {r["n"] for r in by} <= {2857, 2858} and all(r["d"] == r["n"] == r["m"] + 1 for r in by) and len(by) == 7
+
+
+def test_sharding_query(spark, sf):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op7_sharding(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    slots = {}
+    for r in got:
+        text = docs[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(text) + 16, zlib.crc32(text), "rows", None)
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert sorted(slots) == list(range(40)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
