@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows of one Arrow batch; with whole texts of up to some 100 KB a batch stays in the tens of MB.
 BATCH_ROWS = 512
+#: Keys that may count as hot: each has more than this part of all rows.
+HOT_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +44,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows of df, written to the shared folder and reread: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = work_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,6 +66,53 @@ def fanned_out(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, on: str | list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with `keyed`, which has one row a key and in the column `count` how many of the `total` rows have that key.
+
+    Keys with more than total / HOT_KEYS rows, of which there are fewer than HOT_KEYS, are broadcast,
+    so their rows stay where they are; the others meet by a shuffle in which no key is large. how:
+    inner or left. Both frames are read several times: they should be tables or cheap.
+    """
+    hot = keyed.where(F.col(count) * HOT_KEYS > total)
+    on = [on] if isinstance(on, str) else on
+    few = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(F.col(count) * HOT_KEYS <= total), on, how)
+    return few.unionByName(rest)
+
+
+def dealt(df: DataFrame, by: list[str], run: Callable[[pa.Table], pa.Table], schema: str, order: Sequence[str] = ()) -> DataFrame:
+    """Apply run to the rows of each group of equal `by`, in the order of `order`.
+
+    As applyInArrow, but groups follow each other in one stream, which costs less where many are
+    small. A group must fit in memory.
+    """
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.Table] = []
+        now = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            begin = 0
+            for i, key in enumerate(keys):
+                if key != now:
+                    parts.append(table.slice(begin, i - begin))
+                    if now is not None:
+                        yield from run(pa.concat_tables(parts).combine_chunks()).to_batches()
+                    parts, begin, now = [], i, key
+            parts.append(table.slice(begin))
+        if now is not None:
+            yield from run(pa.concat_tables(parts).combine_chunks()).to_batches()
+
+    batch_rows(df.sparkSession)
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(stream, schema)
+
+
+def batch_rows(spark: SparkSession) -> None:
+    """All operators take batches of the same size, so it doesn't matter which of them set it last."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -74,8 +123,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[list], dict]], colum
     make runs once in each Python task. Batches go through Arrow whole, so nulls and 64-bit
     integers of the carried columns survive. schema lists the new columns only.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    batch_rows(df.sparkSession)
     kept = [f.simpleString().replace(":", " ", 1) for f in df.select(*keep).schema.fields]
     made = {f.name: to_arrow_type(f.dataType) for f in T.StructType.fromDDL(schema).fields}
     width = len(kept)

@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, drop_written, fanned_out, map_batches, text_or_empty, written
+from .common import dealt, drop_written, fanned_out, join_hot, map_batches, text_or_empty, written
 from .components import components
 
 #: Words in a k-mer, least similarity, k-mers in a sketch, sketches, and nodes in a block.
-K, SIMILARITY, LENGTH, SKETCHES, BLOCK = 3, 0.8, 2, 40, 128
+K, SIMILARITY, LENGTH, SKETCHES, BLOCK = 3, 0.8, 2, 40, 256
 #: Texts of so many words at most have so many draws of single words besides.
 SHORT, SHORT_SKETCHES = 50, 16
 #: Nodes of a component in a task from which on a pivot pays.
@@ -176,7 +176,7 @@ def settled(task: pa.Table, draws: np.ndarray, turn: int, similarity: float) ->
     to its first node are known, and by the triangle inequality a node far from the pivot is far
     from all that are near it.
     """
-    ids, home = task.column("id").to_numpy(), task.column("part").to_numpy()
+    ids, home = task.column("node").to_numpy(), task.column("part").to_numpy()
     parts = home.copy()
     texts = [np.frombuffer(c, np.uint32) for c in task.column("codes").to_pylist()]
     lengths = np.array([len(t) for t in texts])
@@ -216,17 +216,18 @@ def settled(task: pa.Table, draws: np.ndarray, turn: int, similarity: float) ->
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, length: int = LENGTH, sketches: int = SKETCHES, seed: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per document: key, class_id (the smallest key of its class), kept (its key is that and it is the first such row).
+    """One row per row of docs: key, class_id (the smallest key of its class), kept (true for one row of each class, with that key).
 
     Classes are the components of links. Texts with equal words in equal order are of one class,
     texts without words too; a null text counts as empty. Rows with a null key are compared with
-    nothing: class_id is null and they are kept. Rows that share a key count as one document, so
-    their texts are of one class. Other columns are dropped.
+    nothing: class_id is null and they are kept. Each row counts by its own text, so rows that share
+    a key are of one class only if their texts are. Texts of any length are compared whole. An empty
+    table gives no rows. Other columns, whatever their names, are dropped.
     """
-    prepared = _prepared(docs, k, length, sketches, seed, text, key)
-    classes = _classes(prepared, similarity, seed)
-    out = docs.select(F.col(key).cast("long").alias("id")).join(classes, "id", "left")
-    return out.select(F.col("id").alias(key), "class_id", F.coalesce(F.col("class_id") == F.col("id"), F.lit(True)).alias("kept"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
+    out = _classed(_prepared(rows.where("id is not null"), k, length, sketches, seed), similarity, seed)
+    alone = rows.where("id is null").select("id", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
+    return out.select("id", "class_id", "kept").unionByName(alone).withColumnRenamed("id", key)
 
 
 def text_hash(text: str = "text"):
@@ -235,87 +236,69 @@ def text_hash(text: str = "text"):
 
 
 def kept_texts(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, length: int = LENGTH, sketches: int = SKETCHES, seed: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key and text_hash of one text of each class: that of the smallest key, then of the smallest hash.
-
-    Unlike near_duplicates, each row counts by its own text, so rows that share a key are of one
-    class only if their texts are. Rows with a null key are left out.
-    """
-    rows = docs.withColumn("text_hash", text_hash(text))
-    # Each row has a number of its own, fixed by being written, in place of its key.
-    prepared = _prepared(rows, k, length, sketches, seed, text, key, keep=("text_hash",))
-    classes = _classes(prepared.select(F.col("row").alias("id"), "seq", "codes", "drawn"), similarity, seed)
-    least = prepared.select(F.col("row").alias("id"), F.struct(F.col("id").alias(key), "text_hash").alias("own")).join(classes, "id").groupBy("class_id").agg(F.min("own").alias("own"))
-    return least.select("own.*")
+    """key and text_hash of the row that stays of each class, as near_duplicates keeps it. Rows with a null key are left out."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), text_hash(text).alias("text_hash"), text_or_empty(text).alias("text"))
+    out = _classed(_prepared(rows.where("id is not null"), k, length, sketches, seed, keep=("text_hash",)), similarity, seed, keep=("text_hash",))
+    return out.where("kept").select(F.col("id").alias(key), "text_hash")
 
 
-def _prepared(docs: DataFrame, k: int, length: int, sketches: int, seed: int, text: str, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id (the key), the columns keep, seq (a hash of the words), codes, drawn and row (a number of its own) of each row with a key; written."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def _prepared(rows: DataFrame, k: int, length: int, sketches: int, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, the columns keep, seq (a hash of the words), codes, drawn and row (a number of its own) of each row of id, keep and text; written."""
 
     def make():
         def apply(texts):
             out = {"seq": [], "codes": [], "drawn": []}
             for t in texts:
                 codes = word_codes(t)
-                raw = codes.tobytes()
-                out["codes"].append(raw)
+                out["codes"].append(codes.tobytes())
                 out["seq"].append(hashlib.blake2b(b" ".join(t.lower().encode().split()), digest_size=16).digest())
                 out["drawn"].append(all_draws(codes, k, length, sketches, seed).tolist())
             return out
 
         return apply
 
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), *keep, text_or_empty(text).alias("text"))
     made = map_batches(fanned_out(rows), make, "text", "seq binary, codes binary, drawn array<long>", ("id", *keep))
     return written(made.withColumn("row", F.monotonically_increasing_id()), "sketches")
 
 
-def _classes(prepared: DataFrame, similarity: float, seed: int) -> DataFrame:
-    """id and class_id, the smallest id of its class, of the rows of id, seq, codes and drawn; rows that share an id are of one class."""
-    members = prepared.groupBy("seq").agg(F.min("id").alias("node"))
-    # The node of each key; a key with several texts links their nodes.
-    held = written(prepared.select("id", "seq").join(members, "seq").select("id", "node").distinct(), "held")
-    node_of = held.groupBy("id").agg(F.min("node").alias("node"))
-    several = held.select("id", F.col("node").alias("a")).join(node_of, "id").select("a", F.col("node").alias("b")).where("a <> b")
-    nodes = prepared.join(members.select(F.col("node").alias("id"), "seq"), ["id", "seq"], "left_semi")
+def _stars(shared: DataFrame, codes: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b of nodes with the smallest node of a bucket that they are in; shared: bucket, node, lead, n (nodes of the bucket).
 
-    # Star: each node of a bucket with the bucket's smallest.
-    drawn = written(nodes.select("id", F.explode(F.array_distinct("drawn")).alias("bucket")), "buckets")
-    leads = drawn.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("bucket", "lead")
-    shared = written(drawn.join(leads, "bucket").distinct(), "shared")
-    drop_written(drawn)
-    pairs = shared.where("id <> lead").select("lead", "id").distinct()
-    involved = shared.select("id").distinct()
-    # A key with several texts has a row for each of them.
-    codes = written(nodes.select("id", "codes", "drawn").join(involved, "id", "left_semi"), "codes")
-    ends = codes.select(F.col("id").alias("lead"), F.col("codes").alias("lead_codes"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [linked(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), similarity) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(codes.drop("drawn"), "id").join(ends, "lead").select(F.col("id").alias("a"), F.col("lead").alias("b"), "codes", "lead_codes")
-    star = written(both.mapInArrow(verify, "a long, b long"), "star")
-
-    # Buckets that still hold several components.
-    label = components(star.unionByName(several))
-    labelled = shared.select("bucket", "id").join(label.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
-    mixed = labelled.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("bucket")
-    open_rows = written(labelled.join(mixed, "bucket", "left_semi"), "open")
-    sizes = open_rows.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+    A task holds one lead and a block of the nodes that it is compared with.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    pairs = shared.where("node <> lead").groupBy("lead", "node").agg(F.max("n").alias("n"))
+    pairs = pairs.select("lead", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    leads = pairs.select("lead", "blocks", "block").distinct().withColumn("node", F.col("lead"))
+    rows = pairs.unionByName(leads).join(codes.select("node", "codes"), "node")
+
+    def verify(task: pa.Table) -> pa.Table:
+        lead = task.column("lead")[0].as_py()
+        texts = {i: np.frombuffer(c, np.uint32) for i, c in zip(task.column("node").to_pylist(), task.column("codes").to_pylist(), strict=True)}
+        hit = [i for i, t in texts.items() if i != lead and linked(texts[lead], t, similarity)]
+        return pa.table({"a": pa.array(hit, pa.int64()), "b": pa.array([lead] * len(hit), pa.int64())})
+
+    return dealt(rows, ["lead", "blocks", "block"], verify, "a long, b long")
+
+
+def _between(shared: DataFrame, label: DataFrame, codes: DataFrame, similarity: float, seed: int) -> DataFrame:
+    """Links a, b between the components of label, from buckets that hold nodes of several."""
+    labelled = shared.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+    mixed = labelled.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
+    open_rows = written(join_hot(labelled, mixed, "bucket", "n", shared.count()).select("bucket", "node", "part"), "open")
+    total = open_rows.count()
+    sizes = written(open_rows.groupBy("bucket", "part").agg(F.count("*").alias("n")), "sizes")
     # A component that fills blocks has blocks of its own, which aren't compared with each other.
-    own = F.when(F.col("n") >= BLOCK, F.col("part"))
-    small = sizes.groupBy("bucket").agg(F.coalesce(F.sum(F.when(F.col("n") < BLOCK, F.col("n"))), F.lit(0)).alias("rest"))
-    spread = sizes.join(small, "bucket").select("bucket", "part", own.alias("own"), F.ceil(F.when(F.col("n") >= BLOCK, F.col("n")).otherwise(F.col("rest")) / BLOCK).cast("int").alias("blocks"))
-    unit = F.struct(F.col("own"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("blocks")).cast("int").alias("block"))
-    dealt = open_rows.join(spread, ["bucket", "part"]).select("bucket", "id", "part", unit.alias("unit"))
-    units = dealt.groupBy("bucket", "unit").agg(F.count("*").alias("n")).select("bucket", "unit")
+    large = F.col("n") >= BLOCK
+    small = sizes.groupBy("bucket").agg(F.coalesce(F.sum(F.when(~large, F.col("n"))), F.lit(0)).alias("rest"))
+    spread = sizes.join(small, "bucket").select("bucket", "part", "n", F.when(large, F.col("part")).alias("own"), F.ceil(F.when(large, F.col("n")).otherwise(F.col("rest")) / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64(F.lit(seed), "node"), F.col("blocks")).cast("int")
+    placed = join_hot(open_rows, spread, ["bucket", "part"], "n", total).select("bucket", "node", "part", F.struct("own", block.alias("block")).alias("unit"))
+    units = spread.select("bucket", "own", "blocks").distinct().select("bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select("bucket", F.struct("own", "block").alias("unit"))
     left, right = units.select("bucket", F.col("unit").alias("i")), units.select("bucket", F.col("unit").alias("j"))
     apart = F.col("i.own").isNull() | F.col("j.own").isNull() | (F.col("i.own") != F.col("j.own"))
-    tasks = left.join(right, "bucket").where((F.col("i") <= F.col("j")) & apart).select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("unit"))
-    work = tasks.join(dealt, ["bucket", "unit"]).join(codes, "id").select("bucket", "i", "j", "id", "part", "codes", "drawn")
+    tasks = left.join(right, "bucket").where((F.col("i") <= F.col("j")) & apart).select("bucket", F.xxhash64("i", "j").alias("task"), F.explode(F.array_distinct(F.array("i", "j"))).alias("unit"))
+    work = tasks.join(placed, ["bucket", "unit"]).select("bucket", "task", "node", "part").join(codes, "node")
 
     def settle(task: pa.Table) -> pa.Table:
         bucket = task.column("bucket")[0].as_py()
@@ -324,11 +307,39 @@ def _classes(prepared: DataFrame, similarity: float, seed: int) -> DataFrame:
         # The filler comes last, so it is no pair's first shared draw.
         draws = np.array([d + [0] * (most - len(d)) for d in rows], np.int64)
         turn = int(np.argmax((draws == bucket).any(0)))
-        here = np.flatnonzero(draws[:, turn] == bucket)  # not the other texts of a key
-        return pa.table(dict(zip("ab", settled(task.take(here), draws[here], turn, similarity).T, strict=True)))
+        return pa.table(dict(zip("ab", settled(task, draws, turn, similarity).T, strict=True)))
 
-    more = written(work.groupBy("bucket", "i", "j").applyInArrow(settle, "a long, b long"), "more")
+    return dealt(work.select("bucket", "task", "node", "part", "codes", "drawn"), ["bucket", "task"], settle, "a long, b long")
+
+
+def _classed(prepared: DataFrame, similarity: float, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, the columns keep, class_id (the smallest id of the class) and kept of each prepared row."""
+    total = prepared.count()
+    # A node is the first row of each sequence of words.
+    members = written(prepared.groupBy("seq").agg(F.min("row").alias("node"), F.count("*").alias("n")), "members")
+    drawn = prepared.select(F.col("row").alias("node"), "drawn").join(members.select("node"), "node", "left_semi")
+    drawn = written(drawn.select("node", F.explode(F.array_distinct("drawn")).alias("bucket")), "buckets")
+    leads = drawn.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("n")).where("lead < last").select("bucket", "lead", "n")
+    shared = written(join_hot(drawn, leads, "bucket", "n", drawn.count()), "shared")
+    drop_written(drawn)
+    involved = shared.select("node").distinct()
+    codes = written(prepared.select(F.col("row").alias("node"), "codes", "drawn").join(involved, "node", "left_semi"), "codes")
+
+    star = written(_stars(shared, codes, similarity), "star")
+    label = components(star)
+    more = written(_between(shared, label, codes, similarity, seed), "more")
+    for done in (star, shared, codes):
+        drop_written(done)
     # Components of components; what has no further links keeps its label.
-    joined = components(more.distinct()).select(F.col("node").alias("part"), F.col("component").alias("class"))
-    named = node_of.join(label.select("node", F.col("component").alias("part")), "node", "left").select("id", F.coalesce("part", "node").alias("part"))
-    return named.join(joined, "part", "left").select("id", F.coalesce("class", "part").alias("class_id"))
+    joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("class"))
+    drop_written(more)
+    sizes = label.groupBy("component").agg(F.count("*").alias("n")).unionByName(joined.select("component", F.lit(0).cast("long").alias("n"))).groupBy("component").agg(F.sum("n").alias("n"))
+    named = join_hot(label, sizes.join(joined, "component", "left").select("component", "n", F.coalesce("class", "component").alias("class")), "component", "n", total).select("node", "class")
+    # Nodes without a label are components of one node, which a later link may have joined.
+    single = joined.select(F.col("component").alias("node"), "class").join(named.select("node"), "node", "left_anti")
+    of_text = members.join(named.unionByName(single), "node", "left").select("seq", "n", F.coalesce("class", "node").alias("class"))
+    rows = written(join_hot(prepared.select("id", "row", "seq", *keep), of_text, "seq", "n", total).select("id", "row", "class", *keep), "classes")
+    best = rows.groupBy("class").agg(F.min(F.struct("id", "row")).alias("best"), F.count("*").alias("n"))
+    drop_written(prepared)
+    drop_written(members)
+    return join_hot(rows, best, "class", "n", total).select("id", *keep, F.col("best.id").alias("class_id"), (F.col("best.row") == F.col("row")).alias("kept"))

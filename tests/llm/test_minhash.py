@@ -125,6 +125,30 @@ def test_edited_texts_are_linked(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == want
 
 
+def test_copies_down_to_the_border(spark):
+    # Similarities from 0.8 to 1 by all kinds of edits, for texts of 8 to 1000 words.
+    draw = random.Random(8)
+    rows, pairs = [], []
+    for g in range(300):
+        n = draw.choice([8, 12, 25, 50, 51, 80, 200, 1000])
+        a = [f"w{draw.randint(0, 10**9)}" for _ in range(n)]
+        b = list(a)
+        for _ in range(draw.randint(0, om.allowed(n, n, 0.8))):
+            at, kind = draw.randrange(len(b)), draw.randrange(3)
+            b[at : at + (kind != 0)] = [f"y{draw.randint(0, 10**9)}"] * (kind != 1)
+        if distance(a, b) <= om.allowed(len(a), len(b), 0.8):
+            rows += [(2 * g, " ".join(a)), (2 * g + 1, " ".join(b))]
+            pairs.append(2 * g)
+    got = {r["doc_id"]: r["class_id"] for r in om.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i + 1] == i for i in pairs) >= 0.97 * len(pairs) and all(got[i] == i for i in pairs)
+
+
+def test_long_text_of_one_word(spark):
+    rows = [(1, "a " * 200_000), (2, "a " * 199_000), (3, "a " * 90_000), (4, "x" * 2_000_000)]
+    got = {r["doc_id"]: r["class_id"] for r in om.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_short_texts_beside_longer_ones(spark):
     # Short ones have more draws; all three share the block tasks of one passage.
     draw = random.Random(7)
@@ -140,7 +164,7 @@ def test_task_finds_the_links_that_connect():
     rows = [(i, t) for i, t in corpus(2, 8) if t and len(t) > 50]
     codes = [om.word_codes(t) for _, t in rows]
     draws = np.zeros((len(rows), 3), np.int64)  # all share every draw: the first one's task has the pairs
-    task = pa.table({"id": [i for i, _ in rows], "part": [i for i, _ in rows], "codes": [c.tobytes() for c in codes]})
+    task = pa.table({"node": [i for i, _ in rows], "part": [i for i, _ in rows], "codes": [c.tobytes() for c in codes]})
     assert len(om.settled(task, draws, 1, 0.8)) == 0
     links = om.settled(task, draws, 0, 0.8)
     want = brute(rows)
@@ -151,7 +175,8 @@ def test_task_finds_the_links_that_connect():
 
 def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "q r s t u v")], "doc_id long, text string")
-    assert {(r["doc_id"], r["class_id"]) for r in om.near_duplicates(df).collect()} == {(1, 1), (2, 1)}
+    got = sorted((r["doc_id"], r["class_id"], r["kept"]) for r in om.near_duplicates(df).collect())
+    assert got == [(1, 1, False), (1, 1, True), (2, 1, False), (2, 2, True)]
     assert om.near_duplicates(df.limit(0)).count() == 0
 
 
