@@ -28,9 +28,9 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Rows count by their own texts, also where they share a doc_id; of rows with equal doc_id and
     text the one with the smallest other columns stays. Rows without a doc_id all stay.
     """
-    hashed = docs.where("doc_id is not null").withColumn("text_hash", text_hash())
-    kept = hashed.join(kept_texts(docs), ["doc_id", "text_hash"], "left_semi")
-    known = kept.groupBy("doc_id", "text_hash").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    # Repeated rows become one before they are shuffled, so no key is large.
+    rows = docs.where("doc_id is not null").groupBy("doc_id", text_hash().alias("text_hash")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    known = rows.join(kept_texts(docs), ["doc_id", "text_hash"], "left_semi").select("row.*")
     return known.unionByName(docs.where("doc_id is null"))
 
 
