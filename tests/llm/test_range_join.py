@@ -5,6 +5,7 @@ import pytest
 
 from quarryline.llm import queries
 from quarryline.llm.components import components
+from quarryline.llm import range_join
 from quarryline.llm.range_join import near_vectors
 from oracle import same
 
@@ -28,8 +29,9 @@ def brute(rows, cosine):
     return out
 
 
-@pytest.mark.parametrize("cell,block", [(4096, 2048), (20, 2048), (20, 7)])
-def test_equals_brute_force(spark, cell, block):
+@pytest.mark.parametrize("block", [2048, 7])
+def test_equals_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(range_join, "CHUNK", 16)
     rng = np.random.default_rng(4)
     base = rng.normal(size=(30, 8))
     rows = []
@@ -38,10 +40,35 @@ def test_equals_brute_force(spark, cell, block):
         rows.append((i, [float(v) for v in np.float32(x)], i % 2 if i % 30 else 5))
     rows += [(900, None, 1), (901, [0.0] * 8, 1), (902, [float("nan")] * 8, 1), (903, [None] * 8, 1), (904, [1.0] * 8, None), (905, [1.0], 1), (906, [float("inf")] * 8, 1), (None, [1.0] * 8, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(df, 0.98, cell=cell, block=block).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(df, 0.98, block=block).collect()}
     assert got == brute(rows, 0.98)
 
 
+def test_pivots_serve_every_group(spark, monkeypatch):
+    seen = []
+    placed = range_join._placed
+    monkeypatch.setattr(range_join, "_placed", lambda *a: seen.append(placed(*a).select("group", "cell", "native", "g").toPandas()) or placed(*a))
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 8))
+    rows = [(i, [float(v) for v in centres[i % 12] + rng.normal(scale=0.05, size=8)], i % 3) for i in range(150)] + [(900, [1.0] * 8, 9), (901, [2.0] + [1.0] * 7, 9)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == brute(rows, 0.98)
+    at = seen[0]
+    assert (at.groupby("group").cell.nunique() > 1).all() and len(at.group.unique()) == 4
+    assert len(at) > at.g.nunique() == at.native.sum() == 152  # replicated, native to one cell each
+
+
+def test_scaled_equal_and_repeated_vectors(spark):
+    rows = [(1, [1e200, 2e200], 0), (2, [1.0, 2.0], 0), (3, [1e-200, 2e-200], 0), (4, [5e-324, 1e-323], 0), (5, [-0.0, 1.0], 0), (6, [0.0, 1.0], 0), (7, [1.0, 0.0], 0)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+    # A repeated row counts once; a key with two vectors connects them.
+    rows = [(3, [0.0, 1.0], 0), (3, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (4, [1.0, 0.0], 0), (3, [1.0, 0.0], 0), (9, [1.0, 0.0], 1)] + [(i, [0.0, 1.0], 0) for i in range(100, 600)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int, digest int")).collect())
+    assert got[:6] == [(2, 501, 2, True), (3, 1, 2, False), (3, 501, 2, False), (3, 501, 2, False), (4, 1, 2, False), (9, 0, 9, True)]
+    assert set(got[6:]) == {(i, 501, 2, False) for i in range(100, 600)}
+
+
 def test_empty(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
