@@ -33,7 +33,7 @@ BLOCK = 2048
 #: Vectors that are compared with pivots in one task, at least.
 CHUNK = 1024
 #: Comparisons of two vectors that cost as much as to move one to another task.
-MOVE = 100
+MOVE = 1000
 #: Slack on bounds, for rounding; links themselves are decided without it.
 SLACK = 1e-9
 
