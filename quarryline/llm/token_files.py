@@ -13,9 +13,7 @@ rewritten. A task writes under a name of its own attempt; the manifest names the
 
 from __future__ import annotations
 
-import functools
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,38 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, Memo, text_or_empty, work_path
-
-#: A chunk ends at white space, which no token holds, or between a word of plain letters and a stop,
-#: which the pre-tokenizer always parts. Nothing before such a place bears on what comes after it.
-CHUNK = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!? \n])|[^ \n\t\r]+")
-
-
-class ChunkEncoder:
-    """Encodes whole texts with the tokenizers library, each distinct chunk between white space about once.
-
-    The tokenizer's normalizer and pre-tokenizer never join characters across white space and
-    drop it, so the ids of a text are those of its chunks in order.
-    """
-
-    def __init__(self, path: str, memo_entries: int = 400_000):
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.library = Tokenizer.from_file(path)
-        self.unit = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo = Memo(self.chunks, memo_entries)
-
-    def chunks(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.unit).tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(self.memo.of(CHUNK.findall(text)))
-
-
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+from .chunks import encoder
+from .common import BATCH_ROWS, batch_rows, text_or_empty, work_path
 
 
 @dataclass(frozen=True)
@@ -79,48 +47,49 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     """Write the ids of all documents in ascending key order, each followed by end_id.
 
     A null text counts as empty and has just end_id. Null keys come first; documents with equal
-    keys are ordered by a hash of the text. Only the manifest, a row for each part, comes to the
-    driver. The input is shuffled once, by range of key, into as many parts as it is read in.
+    keys are ordered by a hash of the text. Texts of any length are encoded whole. Other columns,
+    whatever their names, are left out; an empty table gives no parts. Only the manifest, a row for
+    each part, comes to the driver. The input is shuffled once, by range of key, into as many parts as
+    it is read in.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    batch_rows(spark)
     folder = folder or work_path(spark, "token-files")
-    rows = docs.select(F.col(key).cast("long").alias("k"), text_or_empty(text).alias("t"))
+    rows = docs.select(F.col(key).cast("long").alias("k"), text_or_empty(text).alias("t"), F.monotonically_increasing_id().alias("at"))
     n = parts or max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path)
-        end = np.array([end_id], encoder.unit).tobytes()
+        own = encoder(tokenizer_path)
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
-        lengths: list[int] = []
+        lengths: list[np.ndarray] = []
         keys: list[np.ndarray] = []
         with store.open_output_stream(f"{root}/{name}.ids") as out:
             for batch in batches:
                 ks = batch.column(0)
                 keys.append(np.stack([ks.fill_null(0).to_numpy(zero_copy_only=False), ks.is_null().to_numpy(zero_copy_only=False)], 1).astype("<i8"))
-                for t in batch.column(1).to_pylist():
-                    ids = encoder.encode(t) + end
-                    lengths.append(len(ids) // encoder.unit.itemsize)
-                    out.write(ids)
+                ids, ends = own.encode(batch.column(1))
+                lengths.append(np.diff(ends) + 1)
+                out.write(np.insert(ids, ends[1:], end_id).tobytes())
         if not lengths:
             store.delete_file(f"{root}/{name}.ids")
             return
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype("<i8")
         for kind, data in (("off", offsets), ("key", np.concatenate(keys))):
             with store.open_output_stream(f"{root}/{name}.{kind}") as out:
                 out.write(data.tobytes())
-        yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "docs": [len(lengths)], "ids": [int(offsets[-1])]}, pa.schema([("part", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "docs": [len(offsets) - 1], "ids": [int(offsets[-1])]}, pa.schema([("part", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    tie = F.xxhash64("t")
-    manifest = rows.repartitionByRange(n, F.col("k").asc_nulls_first(), tie).sortWithinPartitions(F.col("k").asc_nulls_first(), tie).mapInArrow(write, "part int, name string, docs long, ids long").collect()
+    # Rows equal in key and text differ in their places, so that ranges can part them.
+    order = [F.col("k").asc_nulls_first(), F.xxhash64("t"), F.col("at")]
+    manifest = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(write, "part int, name string, docs long, ids long").collect()
     known, base = [], 0
     for number, row in enumerate(sorted(manifest, key=lambda r: r["part"])):
         known.append((number, row["name"], row["docs"], row["ids"], base))
         base += row["ids"]
-    return TokenFiles(folder, _encoder(tokenizer_path).unit.str, tuple(known))
+    return TokenFiles(folder, encoder(tokenizer_path).unit.str, tuple(known))
 
 
 def _mapped(store: fs.FileSystem, path: str, unit: str) -> np.ndarray:

@@ -2,11 +2,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from quarryline.llm.piece_bpe import PieceBpe, piece_digests, piece_round_trip
 from quarryline.llm.token_counts import UnigramCounter, token_counts, vocabulary
-from quarryline.llm.token_files import ChunkEncoder, _read, read_token_files, token_digests, write_token_files
+from quarryline.llm import chunks
+from quarryline.llm.chunks import BatchEncoder, chunks_are_exact
+from quarryline.llm.token_files import read_token_files, token_digests, write_token_files
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -52,9 +55,25 @@ def test_unigram_ties():
     assert counter.count("aaaa") == (-4.0, 3)  # ▁, then of equal scores the earliest start of the last piece
 
 
-def test_chunks_equal_whole_texts(texts):
-    e = ChunkEncoder(WORDS)
-    assert [np.frombuffer(e.encode(t), e.unit).tolist() for t in texts] == [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
+@pytest.mark.parametrize("exact, at_once", [(True, 4 << 20), (True, 3000), (False, 4 << 20)])
+def test_chunks_equal_whole_texts(texts, monkeypatch, exact, at_once):
+    monkeypatch.setattr(chunks, "SLICE", at_once)
+    e = BatchEncoder(WORDS)
+    assert e.exact
+    e.exact = exact
+    more = [*texts, "H\u0331 T\u0308a J\u030c I\u0307 K\u212a", "a.<|ENDOFTEXT|>.b", "", "x\x0by\x0cz\u00a0w\u2003v", "A&&&B%C c$$$,", "\u0301a", "ǅ ẞ ß İ"]
+    ids, ends = e.encode(pa.array(more))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [x.ids for x in e.library.encode_batch(more, add_special_tokens=False)]
+    sliced = pa.array(["skipped", *more[:40]]).slice(1)
+    ids, ends = e.encode(sliced)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [x.ids for x in e.library.encode_batch(more[:40], add_special_tokens=False)]
+
+
+def test_chunks_of_other_tokenizers_are_refused(texts):
+    e = BatchEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not e.exact and not chunks_are_exact({"added_tokens": []})
+    ids, ends = e.encode(pa.array(texts[:20]))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [x.ids for x in e.library.encode_batch(texts[:20], add_special_tokens=False)]
 
 
 def test_special_tokens_as_the_plain_call(spark):
@@ -72,8 +91,8 @@ def test_special_tokens_as_the_plain_call(spark):
 def test_token_files(spark, texts):
     df = docs(spark, texts)
     files = write_token_files(df, WORDS, 2)
-    e = ChunkEncoder(WORDS)
-    want, start = [], 0
+    e = BatchEncoder(WORDS)
+    want = []
     rows = sorted(df.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
     digests = token_digests(spark, files).collect()
     assert len(digests) == len(rows)
@@ -98,6 +117,20 @@ def test_frames(spark, texts):
     assert back == {i: own.library.decode(own.library.encode(t)) for i, t in enumerate(texts[-14:][:3])}
 
 
+def test_piece_digests(spark, texts):
+    import hashlib
+
+    own = PieceBpe(PIECES)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = []
+    for t in texts:
+        ids = own.library.encode(t)
+        want.append((len(ids), sha(",".join(map(str, ids))), sha(own.library.decode(ids))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in piece_digests(df, PIECES).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_empty(spark):
     df = docs(spark, []).limit(0)
     assert token_counts(df, PIECES).count() == piece_digests(df, PIECES).count() == 0
