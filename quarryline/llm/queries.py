@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .ogg import media_features, with_media
 from .order_minhash import near_duplicates
-from .packing import n_tokens, packed
+from .packing import packed
 from .piece_bpe import piece_digests
 from .range_join import near_vectors
 from .secrets import labelled_samples, report_sql, secret_report, train
@@ -47,7 +47,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), n_tokens())
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,14 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from quarryline.llm.packing import boundaries, n_tokens, packed
-from quarryline.llm.queries import op7_sharding
+from quarryline.llm.packing import boundaries, packed, write_batches
+from quarryline.llm.queries import op6_packing, op7_sharding
 from quarryline.llm.sharding import fisher_yates, numbers, write_shards
 
 
@@ -26,31 +29,57 @@ def test_boundaries_are_optimal(seed):
         assert len(got) <= k and padding(histogram, got) == best
 
 
-def test_packed(spark):
-    draw = random.Random(3)
-    lengths = [draw.randint(0, 300) for _ in range(500)] + [5000, 0, 0]
-    df = spark.createDataFrame([(i if i % 50 else None, n, 1) for i, n in enumerate(lengths)], "doc_id long, n long, bucket int").repartition(5)
-    rows = packed(df, F.col("n"), buckets=4, budget=1000).collect()
-    assert len(rows) == len(lengths)
-    uppers = sorted({r["padded"] for r in rows})
-    assert padding(sorted(Counter(lengths).items()), uppers) == padding(sorted(Counter(lengths).items()), boundaries(sorted(Counter(lengths).items()), 4))
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+def least_padding(lengths, buckets):
+    """By the plain recurrence over sorted lengths."""
+    h = sorted(Counter(lengths).items())
+    rows, tokens = [0, *itertools.accumulate(c for _, c in h)], [0, *itertools.accumulate(n * c for n, c in h)]
+    best = [0] + [float("inf")] * len(h)
+    for _ in range(buckets):
+        best = [0, *(min(best[i] + h[j][0] * (rows[j + 1] - rows[i]) - (tokens[j + 1] - tokens[i]) for i in range(j + 1)) for j in range(len(h)))]
+    return best[-1]
+
+
+def check_batches(rows, texts, buckets, budget):
+    """rows: packed(); texts: (key, text) of the input."""
+    library = Tokenizer.from_file(WORDS)
+    ids = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for _, t in texts]
+    want = Counter((k, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (k, _), x in zip(texts, ids, strict=True))
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows) == want
+    assert sum(r["padded"] - r["n_tokens"] for r in rows) == least_padding(list(map(len, ids)), buckets)
     batches = {}
     for r in rows:
-        assert r["padded"] == min(u for u in uppers if u >= r["n_tokens"])
+        assert r["padded"] >= r["n_tokens"]
         batches.setdefault(r["batch"], []).append(r)
     assert sorted(batches) == list(range(len(batches)))
-    partial = Counter()
     for b in batches.values():
-        fits = max(1, 1000 // max(1, b[0]["padded"]))
-        assert len({r["bucket"] for r in b}) == 1 and len(b) <= fits and sorted(r["slot"] for r in b) == list(range(len(b)))
-        partial[b[0]["bucket"]] += len(b) < fits
-    assert max(partial.values()) <= 1
-    assert packed(df.limit(0), F.col("n")).count() == 0
+        assert len({(r["bucket"], r["padded"]) for r in b}) == 1 and sorted(r["slot"] for r in b) == list(range(len(b)))
+        assert len(b) == 1 or len(b) * b[0]["padded"] <= budget
+
+
+def test_packed(spark):
+    draw = random.Random(3)
+    texts = [(i if i % 50 else None, " ".join(draw.choices(["one", "two", "seven.", "é"], k=draw.choice([3, 5, 8, 40, draw.randint(0, 300)])))) for i in range(500)]
+    texts += [(1, "word " * 5000), (1, ""), (2, None), (2, None)]
+    df = spark.createDataFrame([(*t, 1, "x") for t in texts], "doc_id long, text string, bucket int, ids string").repartition(5)
+    check_batches(packed(df, WORDS, 2, buckets=4, budget=1000).collect(), texts, 4, 1000)
+    assert packed(df.limit(0), WORDS, 2).count() == 0
+    for b in write_batches(df.repartition(1), WORDS, 2, 7, 4, 1000).collect():
+        rows = np.frombuffer(b["ids"], "<u2").reshape(len(b["keys"]), b["padded"])
+        assert all((r[n:] == 7).all() and r[n - 1] == 2 for r, n in zip(rows, b["lengths"], strict=True))
+
+
+def test_full_batches(spark):
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text")).coalesce(1)
+    rows = packed(df, WORDS, 2, budget=40).collect()
+    assert Counter(Counter(r["batch"] for r in rows).values()) == {10: 100}
 
 
-def test_token_counts(spark):
-    df = spark.createDataFrame([("a b, c!",), ("",), (None,), ("éa 12",)], "text string").select(n_tokens().alias("n"))
-    assert [r["n"] for r in df.collect()] == [5, 0, 0, 2]
+def test_packing_query(spark, sf):
+    texts = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    check_batches(op6_packing(spark, sf).collect(), texts, 16, 65_536)
 
 
 @pytest.mark.parametrize("n,shards", [(0, 4), (1, 4), (103, 10), (103, 1)])
