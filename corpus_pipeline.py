@@ -6,12 +6,13 @@ reread, and works on all of them. All but the last return the columns of documen
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import table, written
 from quarryline.llm.order_minhash import kept_texts, text_hash
-from quarryline.llm.packing import n_tokens, packed
+from quarryline.llm.packing import packed
 from quarryline.llm.secrets import labelled_samples, redacted, train
 from quarryline.llm.toxicity import fit, with_scores
 
@@ -40,8 +41,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A bucket, batch and slot for every document."""
-    return packed(docs, n_tokens())
+    """All documents in padded batches of token ids; for each its bucket, batch and slot, read back."""
+    return packed(docs, public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicate), ("secrets", secrets), ("packing", packing)]
