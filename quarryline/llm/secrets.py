@@ -15,6 +15,7 @@ import json
 import math
 import random
 import string
+import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -35,8 +36,10 @@ LOW, HIGH = ord("+"), ord("z")
 WIDTH = HIGH - LOW + 1
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 CANDIDATE_LEAST = 20
+#: Matches that are gathered at once.
+BLOCK = 200
 
-#: Fixed words of which ordinary identifiers are made.
+#: Fixed words of which ordinary names are made; longer ones of several languages teach what letters follow each other.
 WORDS = """account action address after archive before binary bottom branch buffer button cache change channel
 client column config content context control copy count create current custom data default delete detail device
 document domain element enable encode entry error event export field file filter first format frame function
@@ -48,9 +51,23 @@ register remote report request reset resource response result return root sample
 second section select sequence server service session setting shipping simple source start state static status
 storage stream string style summary system table target template thread time title token total transaction type
 update upload user value variable vector version view warning width window workspace write year
-aber nicht werden keine schule haben zwischen freiheit verantwortung entwicklung
-avoir toujours maintenant gouvernement développement quelque monsieur ensemble
-siempre trabajo gobierno desarrollo nosotros ciudad también universidad""".split()
+archaeological biotechnology bureaucracy characteristic chlorophyll circumstances communication cryptography
+disproportionately earthquakes electroencephalograph fluorescence heterogeneous hypothetically incomprehensible
+infrastructure jurisdiction kubernetes knowledge lightweight microprocessor nevertheless neighbourhood
+onomatopoeia pharmaceutical photosynthesis psychology quantitative rhythm straightforward subsequently
+thermodynamics transcontinental uncharacteristically unquestionably wavelength xylophone yesterday zoological
+aber nicht werden keine schule haben zwischen freiheit verantwortung entwicklung geschwindigkeit gesellschaft
+wissenschaftler krankenversicherung bundesverfassungsgericht aufmerksamkeit schmetterling rechtsschutz
+donaudampfschifffahrt arbeitslosigkeit wirtschaftswachstum sehenswürdigkeit zeitschrift pfingsten
+avoir toujours maintenant gouvernement développement quelque monsieur ensemble anticonstitutionnellement
+malheureusement aujourd approximativement bibliothèque travailleur oeuvre
+siempre trabajo gobierno desarrollo nosotros ciudad también universidad electrodomésticos desafortunadamente
+responsabilidad extraordinariamente izquierda guerra""".split()
+#: Fixed short names of folders, sites and formats that paths and addresses are made of.
+PLACES = """usr local lib bin share home users var log etc opt tmp src main test java python3 site-packages node_modules dist
+build assets images img static public api v1 v2 v3 https http www com org net de fr en wiki wikipedia github blog news
+index html php css js json xml pdf png jpg 2023 2024 1080 720 x86_64 utf-8 iso-8859-1 rfc2616 sha256 md5 base64""".split()
+SIGNS = "-_+/"
 
 
 @dataclass(frozen=True)
@@ -62,14 +79,39 @@ class RandomTest:
 
 
 def labelled_samples(n: int = 4000, seed: int = 11) -> list[tuple[str, bool]]:
-    """n random strings (True) of common alphabets and n ordinary identifiers (False) of WORDS."""
+    """n random strings (True) of common alphabets, and 2 * n ordinary runs (False).
+
+    The ordinary ones are names made of WORDS in the usual ways, single long words, paths and
+    addresses, dates, times and counters, plain numbers, rulers, and repeated characters or words.
+    """
     draw = random.Random(seed)
-    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits, string.hexdigits[:16]]
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits, string.hexdigits[:16], string.digits + "ABCDEF"]
     out = [("".join(draw.choices(draw.choice(alphabets), k=draw.randint(20, 64))), True) for _ in range(n)]
-    plain = [w for w in WORDS if w.isascii()]
-    joins = [lambda p: "_".join(p), lambda p: "-".join(p), lambda p: "/".join(p), lambda p: "".join(p), lambda p: p[0] + "".join(map(str.title, p[1:])), lambda p: "_".join(p).upper(), lambda p: "".join(map(str.title, p)), lambda p: "_".join(p) + str(draw.randint(0, 2030))]
-    out += [(draw.choice(joins)(draw.choices(plain, k=draw.randint(2, 6))), False) for _ in range(n)]
-    return out
+    words = ["".join(c for c in unicodedata.normalize("NFD", w) if c.isascii()) for w in WORDS]
+    joins = [lambda p: "_".join(p), lambda p: "-".join(p), lambda p: "/".join(p), lambda p: "".join(p), lambda p: p[0] + "".join(map(str.title, p[1:])), lambda p: "_".join(p).upper(), lambda p: "".join(map(str.title, p)), lambda p: "_".join(p) + str(draw.randint(0, 2030)), lambda p: "-".join(map(str.title, p)), lambda p: "+".join(p), lambda p: "".join(p).upper()]
+
+    def date() -> str:
+        sign = draw.choice(["-", "_", "/", ""])
+        parts = [f"{draw.randint(1970, 2039)}", f"{draw.randint(1, 12):02d}", f"{draw.randint(1, 28):02d}"]
+        return sign.join(parts if draw.random() < 0.7 else parts[::-1]) + draw.choice(["", f"T{draw.randint(0, 235959):06d}", f"_{draw.randint(0, 235959):06d}", "Z"])
+
+    def ruler() -> str:
+        unit = draw.choice([*SIGNS, *SIGNS, *string.ascii_letters, *string.digits, draw.choice(SIGNS) + draw.choice(SIGNS), draw.choice(SIGNS) * draw.randint(2, 6) + draw.choice(SIGNS), draw.choice(words), "0123456789", string.ascii_lowercase, string.ascii_uppercase])
+        return unit * (1 + draw.randint(20, 80) // len(unit))
+
+    kinds = [
+        lambda: draw.choice(joins)(draw.choices(words, k=draw.randint(2, 6))),
+        lambda: draw.choice(joins)(draw.choices(words, k=draw.randint(2, 6))),
+        lambda: draw.choice([str, str.title, str.upper])(max(draw.choices(words, k=4), key=len)) * draw.randint(1, 2),
+        lambda: draw.choice(["/", "", "//"]) + "/".join(draw.choice([str, str, str.title])(draw.choice([draw.choice(PLACES), draw.choice(words), draw.choice(words) + draw.choice("-_") + draw.choice(words)])) for _ in range(draw.randint(3, 8))),
+        lambda: draw.choice("-_/").join(date() for _ in range(draw.randint(1, 4))),
+        lambda: draw.choice("-_/").join(str(draw.randint(0, 10 ** draw.randint(1, 8))) for _ in range(draw.randint(3, 9))),
+        lambda: draw.choice("-_").join(draw.choice([draw.choice(words), str(draw.randint(0, 999)), draw.choice(PLACES), date()]) for _ in range(draw.randint(3, 6))),
+        lambda: "".join(draw.choices(string.digits, k=draw.randint(20, 40))),
+        ruler,
+        lambda: draw.choice(words) + ruler() + draw.choice(words),
+    ]
+    return out + [(draw.choice(kinds)(), False) for _ in range(2 * n)]
 
 
 def train(samples: Iterable[tuple[str, bool]], odds: float = 1000.0, smoothing: float = 0.5) -> RandomTest:
@@ -100,7 +142,10 @@ def ratio(s: Column, test: RandomTest) -> Column:
 
 
 def _spans(text: Column, pattern: str, number: int, passes) -> Column:
-    """Leftmost non-overlapping matches as array<struct<start, kind, end>>, those that `passes` holds for."""
+    """Leftmost non-overlapping matches as array<struct<start, kind, end>>, those that `passes` holds for.
+
+    Lists grow by copying, so matches are gathered in blocks: a text with n of them costs n * (BLOCK + n / BLOCK).
+    """
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
     kind = "array<struct<start:int,kind:int,end:int>>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
@@ -112,7 +157,12 @@ def _spans(text: Column, pattern: str, number: int, passes) -> Column:
         ok = part["hit"].isNotNull() & passes(part["hit"])
         return F.struct(end.alias("at"), F.when(ok, F.concat(acc["found"], span)).otherwise(acc["found"]).alias("found"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step)["found"]).otherwise(F.array().cast(kind))
+    def block(acc, k):
+        inner = F.aggregate(F.slice(parts, k * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("found")), step)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["found"], inner["found"]).alias("found"))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int"))
+    return F.when(text.rlike(pattern), F.aggregate(blocks, start, block)["found"]).otherwise(F.array().cast(kind))
 
 
 def with_spans(docs: DataFrame, test: RandomTest, text: str = "text") -> DataFrame:
@@ -154,11 +204,15 @@ def listed(spans: Column) -> Column:
 
 
 def secret_report(docs: DataFrame, test: RandomTest, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_assign, n_access, n_hex, base_sha256, spans, n_random for every row of docs."""
-    found = with_spans(docs.select(key, text), test, text)
+    """key, n_assign, n_access, n_hex, base_sha256, spans, n_random for every row of docs.
+
+    A null or empty text has no spans; repeated rows each have theirs; an empty table gives no rows.
+    Whole texts of any length are scanned. Other columns, whatever their names, are left out.
+    """
+    found = with_spans(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), test)
     n = lambda number: F.size(F.filter("_base", lambda s: s["kind"] == number)).cast("long")
     return found.select(
-        key,
+        F.col("key").alias(key),
         n(0).alias("n_assign"),
         n(1).alias("n_access"),
         n(2).alias("n_hex"),
@@ -171,19 +225,21 @@ def secret_report(docs: DataFrame, test: RandomTest, text: str = "text", key: st
 def redacted(docs: DataFrame, test: RandomTest, mark: str = "[secret]", text: str = "text") -> DataFrame:
     """docs with each run of overlapping spans of the text replaced by mark; a null text stays null.
 
-    The columns of docs stay as they are, in order.
+    The other columns of docs, whatever their names, stay as they are, in order.
     """
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    body = F.col(text)
+    body = F.col("text")
 
     def step(acc, s):
         before = F.array(body.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], before)).otherwise(acc["out"]).alias("out"))
 
-    found = with_spans(docs, test, text)
+    # A struct keeps the columns' names apart from those used here.
+    found = with_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text")), test)
     cut = F.aggregate(F.array_sort(F.concat("_base", "_added")), start, step)
     clean = F.concat(F.array_join(cut["out"], ""), body.substr(cut["at"] + 1, F.length(body)))
-    return found.withColumn(text, F.when((F.size("_base") > 0) | (F.size("_added") > 0), clean).otherwise(body)).select(*docs.columns)
+    clean = F.when((F.size("_base") > 0) | (F.size("_added") > 0), clean).otherwise(body)
+    return found.select(*[clean.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def report_sql(test: RandomTest) -> str:
