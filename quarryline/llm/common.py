@@ -124,7 +124,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[list], dict]], colum
     integers of the carried columns survive. schema lists the new columns only.
     """
     batch_rows(df.sparkSession)
-    kept = [f.simpleString().replace(":", " ", 1) for f in df.select(*keep).schema.fields]
+    # Numbered names on the way through Python, which takes no names with dots.
+    plain = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{column}`").alias("value"))
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[:-1]]
     made = {f.name: to_arrow_type(f.dataType) for f in T.StructType.fromDDL(schema).fields}
     width = len(kept)
 
@@ -134,7 +136,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[list], dict]], colum
             got = apply(batch.column(width).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), *(pa.array(got[n], kind) for n, kind in made.items())], names=[*batch.schema.names[:width], *made])
 
-    return df.select(*keep, column).mapInArrow(run, ", ".join([*kept, schema]))
+    return plain.mapInArrow(run, ", ".join([*kept, schema])).toDF(*keep, *made)
 
 
 class Memo:

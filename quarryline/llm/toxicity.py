@@ -1,14 +1,14 @@
 """Toxicity by weak supervision.
 
 Lexicon and pattern voters are drawn from labelled training rows: words and word beginnings that
-mark toxic texts, shouting, strings of exclamation marks, and a voter for clean texts that speaks
-where all others are silent. A generative model estimates the voters' accuracies by expectation
-maximisation; voters that agree more than their class explains share their weight. Its posterior
+mark toxic texts, shouting, and strings of exclamation marks. A generative model estimates by
+expectation maximisation how often each voter speaks in either class; voters that agree more than their class explains share their weight. Its posterior
 labels train a linear classifier, and that is what scores texts.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, Memo, fanned_out, map_batches, text_or_empty, written
+from .common import Memo, batch_rows, drop_written, fanned_out, map_batches, text_or_empty, written
 
-#: Labelled rows that a fit uses at most (the lowest seeded hashes of their keys).
-SAMPLE_ROWS = 20_000
+#: Labelled rows that a fit uses at most, and unlabelled ones (the lowest seeded hashes of their keys).
+SAMPLE_ROWS, UNLABELLED_ROWS = 20_000, 10_000
 #: Lexicon voters, further features of the classifier, and the least G statistic of either: of a
 #: million features that mark nothing, some dozens reach it by chance.
 VOTERS, FEATURES, LEAST_G = 400, 2_000, 18.0
@@ -83,38 +83,35 @@ class Classifier:
         return score
 
 
-def label_model(votes: np.ndarray, right: np.ndarray, wrong: np.ndarray, rounds: int = 40, agreement: float = 0.25, entangled: float = 0.3, silence: float = 0.98, caution: float = 1.0) -> np.ndarray:
+def label_model(votes: np.ndarray, right: np.ndarray, wrong: np.ndarray, positive: int, negative: int, rounds: int = 40, agreement: float = 0.25, entangled: float = 0.6) -> np.ndarray:
     """Posterior probabilities of class 1 for rows of 0/1 votes, one column for each voter for class 1.
 
-    A voter that speaks is right with its accuracy; one that is silent says nothing, but where all
-    are silent the voter for class 0 speaks, which is right with probability `silence`. Accuracies
-    are fitted by expectation maximisation: their prior is how often each voter was right and
-    wrong on labelled rows, and agreement with the posterior of the other voters (where it alone
-    spoke: of the voter for class 0) counts `agreement` of a label.
+    Each class has a share of the rows, and in each class a voter speaks in a share of them. One
+    more voter, for class 0, speaks where all others are silent; apart from that silence says nothing,
+    as most voters know the words of one language only. These shares are fitted by expectation
+    maximisation over all rows, labelled or not: the prior is how often each voter was right and
+    wrong on `positive` and `negative` labelled rows, and a row's posterior counts `agreement` of a label.
     Then the correlations that remain between voters within the classes are measured; a
     voter's log odds are divided by one plus the sum of its correlations over `entangled`, and the
     model is fitted once more.
     """
     n, m = votes.shape
     row, col = np.nonzero(votes)
-    spoke = np.bincount(row, minlength=n)
-    quiet = np.log((1 - silence) / silence)
-    weight, accuracy = np.ones(m), np.clip((right + 1) / (right + wrong + 2), 0.05, 0.98)
-
-    def posterior(z: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-
+    quiet = np.bincount(row, minlength=n) == 0
+    weight = np.ones(m)
+    in1, in0, share = (right + 0.5) / (positive + 1), (wrong + 0.5) / (negative + 1), (positive + 1) / (positive + negative + 2)
+    quiet1, quiet0 = 0.1, 0.9
+    p = np.zeros(n)
     for last in (False, True):
         for _ in range(rounds):
-            odds = weight * np.log(accuracy / (1 - accuracy))
-            z = np.where(spoke > 0, np.bincount(row, odds[col], n) - caution, quiet)
-            others = posterior(np.where(spoke[row] > 1, z[row] - odds[col], quiet))
-            new = np.clip((agreement * np.bincount(col, others, m) + right + 1) / (agreement * np.bincount(col, minlength=m) + right + wrong + 2), 0.05, 0.98)
-            done = np.abs(new - accuracy).max(initial=0) < 1e-6
-            accuracy = new
-            if done:
+            z = math.log(share / (1 - share)) + np.where(quiet, math.log(quiet1 / quiet0), np.bincount(row, (weight * np.log(in1 / in0))[col], n))
+            before, p = p, 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            if np.abs(p - before).max(initial=0) < 1e-6:
                 break
-        p = posterior(z)
+            in1 = (right + 0.5 + agreement * np.bincount(col, p[row], m)) / (positive + 1 + agreement * p.sum())
+            in0 = (wrong + 0.5 + agreement * np.bincount(col, 1 - p[row], m)) / (negative + 1 + agreement * (1 - p).sum())
+            share = (positive + 1 + agreement * p.sum()) / (positive + negative + 2 + agreement * n)
+            quiet1, quiet0 = (0.1 + p[quiet].sum()) / (1 + p.sum()), (0.9 + (1 - p[quiet]).sum()) / (1 + (1 - p).sum())
         if not last:
             a = (p @ votes + 0.5) / (p.sum() + 1)
             b = ((1 - p) @ votes + 0.5) / (n - p.sum() + 1)
@@ -139,7 +136,7 @@ def apart(found: list[str], most: int) -> list[str]:
     return out[:most]
 
 
-def train_linear(rows: list[np.ndarray], width: int, target: np.ndarray, steps: int = 1000, decay: float = 1e-6, rate: float = 0.3) -> tuple[np.ndarray, float]:
+def train_linear(rows: list[np.ndarray], width: int, target: np.ndarray, steps: int = 1000, decay: float = 1e-4, rate: float = 0.3) -> tuple[np.ndarray, float]:
     """Logistic regression on sets of feature numbers with soft targets; full batches, Adam with a rate that falls to 0, fixed start."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows) if len(row) else np.empty(0, np.int64)
@@ -154,23 +151,39 @@ def train_linear(rows: list[np.ndarray], width: int, target: np.ndarray, steps:
     return w[:width], float(w[width])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS, seed: int = 3) -> Classifier:
-    """Fit on at most sample_rows labelled rows that aren't held out.
+def _sampled(docs: DataFrame, keys: DataFrame, key: str, text: str, most: int, seed: int) -> DataFrame:
+    """id, text and the other columns of keys for at most `most` different texts of the given keys; written.
+
+    keys has at most `most` rows. Of the texts that its keys have (a repeated key may have many) those
+    with the lowest seeded hashes are taken.
+    """
+    rows = docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text")).join(F.broadcast(keys), "id")
+    distinct = written(rows.groupBy("text").agg(*[F.max(c).alias(c) for c in keys.columns if c != "id"], F.min("id").alias("id")).withColumn("at", F.xxhash64(F.lit(seed), "text")), "texts")
+    few = distinct.select("at").orderBy("at").limit(most)
+    taken = written(distinct.join(F.broadcast(few), "at", "left_semi").drop("at"), "sample")
+    drop_written(distinct)
+    return taken
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, seed: int = 3) -> Classifier:
+    """Fit on at most sample_rows labelled and unlabelled_rows unlabelled texts of rows that aren't held out.
 
     Rows with a null key or label are left out; of several labels of a key the highest counts, of
-    several texts each is a row, and equal texts are one row. If the sample lacks toxic or clean rows, the classifier scores
-    every text as clean. Only counts of features, the chosen features (a bounded number) and the
-    sample's feature numbers reach the driver.
+    several texts each is a row, and equal texts are one row. If the sample lacks toxic or clean rows,
+    or the table is empty, the classifier scores every text as clean. Other columns of either table,
+    whatever their names, aren't used. Only counts of features, the chosen features (a bounded number)
+    and the samples' feature numbers reach the driver.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    batch_rows(spark)
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("id")).agg((F.max(label) > 0).cast("int").alias("y"))
-    chosen = spark.createDataFrame([tuple(r) for r in marked.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample_rows).collect()], marked.schema)
-    # At most sample_rows rows of two numbers.
-    sample = written(docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), "id").groupBy("text").agg(F.max("y").alias("y"), F.min("id").alias("id")), "labelled")
+    lowest = lambda rows, most: rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(most)
+    sample = _sampled(docs, lowest(marked, sample_rows), key, text, sample_rows, seed)
     n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if positive == 0 or positive == n:
         return Classifier()
+    free = docs.where(F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("id")).distinct().join(marked.select("id"), "id", "left_anti")
+    others = _sampled(docs, lowest(free, unlabelled_rows), key, text, unlabelled_rows, seed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}
@@ -196,19 +209,22 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     tally = written(tally.withColumn("g", g).where(F.col("g") >= LEAST_G), "features")
     seen = {r[0]: (r[1], r[2]) for r in tally.where((F.col("pos") >= F.col("neg") * MOSTLY) | F.col("feature").isin(*PATTERNS)).orderBy(F.desc("g"), "feature").limit(FEATURES).select("feature", "pos", "neg").collect()}
     lexicon = apart(list(seen), VOTERS)
-    others = [r[0] for r in tally.orderBy(F.desc("g"), "feature").limit(FEATURES).collect()]
-    names = list(dict.fromkeys([*lexicon, *others]))
+    further = [r[0] for r in tally.orderBy(F.desc("g"), "feature").limit(FEATURES).collect()]
+    names = list(dict.fromkeys([*lexicon, *further]))
     at = {f: i for i, f in enumerate(names)}
 
     def numbers():
         return lambda texts: {"found": [sorted(at[f] for f in features(t) if f in at) for t in texts]}
 
-    found = [np.array(r["found"], np.int64) for r in map_batches(fanned_out(sample), numbers, "text", "found array<int>", ("id",)).orderBy("id", "found").collect()]
+    both = sample.select("text").unionByName(others.select("text"))
+    found = [np.array(f, np.int64) for f in sorted(r["found"] for r in map_batches(fanned_out(both), numbers, "text", "found array<int>", ()).collect())]
+    for done in (sample, others, tally):
+        drop_written(done)
     voters = {at[f]: i for i, f in enumerate(lexicon)}
     votes = np.zeros((len(found), len(voters)), np.float32)
     for i, f in enumerate(found):
         votes[i, [voters[x] for x in f.tolist() if x in voters]] = 1
-    target = label_model(votes, np.array([seen[f][0] for f in lexicon]), np.array([seen[f][1] for f in lexicon]))
+    target = label_model(votes, np.array([seen[f][0] for f in lexicon]), np.array([seen[f][1] for f in lexicon]), positive, n - positive)
     w, bias = train_linear(found, len(names), target)
     return Classifier({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, bias)
 
@@ -216,13 +232,16 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 def with_scores(docs: DataFrame, model: Classifier, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all, if None) and score double, for every row.
 
-    Whole texts are scored; a null text counts as empty, which scores the bias alone. A column
-    score of docs is replaced. Narrow, no shuffle.
+    Whole texts of any length are scored; a null text counts as empty, which scores the bias alone.
+    A column score of docs is replaced, all other names are free. Narrow, no shuffle.
     """
 
     def make():
         score = model.scorer()
         return lambda texts: {"score": [score(t) for t in texts]}
 
-    keep = [c for c in (keep or docs.columns) if c != "score"]
-    return map_batches(fanned_out(docs.select(*keep, text_or_empty(text).alias("_text"))), make, "_text", "score double", keep)
+    keep = [c for c in (keep or docs.columns) if c.lower() != "score"]
+    own = "text"
+    while own in {c.lower() for c in keep}:
+        own += "_"
+    return map_batches(fanned_out(docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(text).alias(own))), make, own, "score double", keep)

@@ -36,6 +36,56 @@ def test_learns_and_generalises(spark):
     assert got[9001] == got[9002] < 0.5
 
 
+def test_names_may_clash_and_rows_repeat(spark):
+    docs, labels = corpus(200)
+    text = "vilexa " * 50_000
+    d = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in [*docs, *docs[:50], (7, "other text of 7"), (None, None), (3, text)]], "doc_id long, text string, _text int, text_ string, `a.b` int")
+    l = spark.createDataFrame([(*r, "z") for r in [*labels, *labels]], "doc_id long, toxic int, text string")  # noqa: E741
+    out = tox.with_scores(d, tox.fit(d, l))
+    assert out.columns == [*d.columns, "score"] and out.where("_text = 1 and text_ = 'x' and `a.b` = 2").count() == 253
+    assert out.where(F.length("text") > 100_000).first()["score"] > 0.5
+
+
+def test_sample_is_bounded(spark):
+    # One key with very many texts doesn't bring them all.
+    rows = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    keys = spark.createDataFrame([(1, 1)], "id long, y int")
+    got = tox._sampled(rows, keys, "doc_id", "text", 20, 3)
+    assert got.count() == 20 and got.columns == ["text", "y", "id"]
+
+
+def test_label_model_nears_the_true_posterior():
+    # Independent voters for class 1 and one that copies another; few labels, many unlabelled rows.
+    rng = np.random.default_rng(1)
+    n = 60_000
+    y = rng.random(n) < 0.15
+    fires = [(0.12, 0.002), (0.1, 0.001), (0.1, 0.05), (0.08, 0.0005)]
+    votes = np.stack([np.where(y, rng.random(n) < a, rng.random(n) < b) for a, b in fires], 1)
+    votes = np.concatenate([votes, votes[:, 2:3]], 1).astype(np.float32)
+    few = slice(0, 3000)
+    right, wrong = (votes[few] * y[few, None]).sum(0), (votes[few] * ~y[few, None]).sum(0)
+    p = tox.label_model(votes, right, wrong, int(y[few].sum()), int((~y[few]).sum()))
+    patterns, which, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    sure = 0
+    for k in range(len(patterns)):
+        true = y[which == k].mean()  # by brute force over all rows with these votes
+        if counts[k] > 50 and abs(true - 0.5) > 0.2:
+            assert (p[which == k][0] > 0.5) == (true > 0.5), (patterns[k], true, p[which == k][0])
+            sure += 1
+    assert sure >= 5
+
+
+def test_train_linear_finds_the_group_means():
+    rows = [np.array([0])] * 30 + [np.array([], np.int64)] * 70
+    target = np.array([0.9] * 30 + [0.2] * 70)
+    w, bias = tox.train_linear(rows, 1, target)
+    assert abs(1 / (1 + np.exp(-bias)) - 0.2) < 0.01 and abs(1 / (1 + np.exp(-bias - w[0])) - 0.9) < 0.01
+
+
+def test_voters_are_apart():
+    assert tox.apart(["vile*", "vilexa", "grub", "vil", "snar*", "grubbit"], 2) == ["vile*", "grub"]
+
+
 def test_one_class_or_none(spark):
     d = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     for rows in ([], [(1, 0), (2, 0)], [(1, 1)]):
