@@ -12,8 +12,7 @@ Groups never become pairs. Equal word sequences are one node. In each bucket of
 all nodes are aligned with the smallest one; what that links is one component. Only buckets that
 still hold several components are looked at again, in tasks of two bounded blocks: there, nodes
 of different components are aligned unless their word histograms (one edit moves a histogram by 2
-at most) or the triangle inequality proves them apart, and a link ends the comparison of its two
-components.
+at most) prove them apart, and a link ends the comparison of its two components.
 """
 
 from __future__ import annotations
@@ -32,12 +31,11 @@ from .common import dealt, drop_written, fanned_out, join_hot, map_batches, text
 from .components import components
 
 #: Words in a k-mer, least similarity, k-mers in a sketch, sketches, and nodes in a block.
-K, SIMILARITY, LENGTH, SKETCHES, BLOCK = 3, 0.8, 2, 40, 256
+K, SIMILARITY, LENGTH, SKETCHES, BLOCK = 2, 0.8, 3, 48, 256
 #: Texts of so many words at most have so many draws of single words besides.
 SHORT, SHORT_SKETCHES = 50, 16
-#: Nodes of a component in a task from which on a pivot pays.
-PIVOT_NODES = 4
-BINS = 256
+#: Bins of the coarse and the fine word histograms.
+BINS = 256, 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -168,37 +166,21 @@ def linked(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, near: b
     return banded_distance(a, b, most, near) <= most
 
 
+def histograms(texts: list[np.ndarray], bins: int) -> np.ndarray:
+    return np.array([np.bincount(t % bins, minlength=bins) for t in texts], np.int32).reshape(-1, bins)
+
+
 def settled(task: pa.Table, draws: np.ndarray, turn: int, similarity: float) -> np.ndarray:
     """Links between components within one task, as many as connect them, as pairs of their labels.
 
-    A pair of nodes is compared only in the task of the first draw that they share. Besides the
-    word histograms, a pivot proves nodes apart: of a component with several nodes here, distances
-    to its first node are known, and by the triangle inequality a node far from the pivot is far
-    from all that are near it.
+    A pair of nodes is compared only in the task of the first draw that they share, and aligned only
+    if neither coarse nor fine word histograms prove it apart: one edit moves them by 2 at most.
     """
     ids, home = task.column("node").to_numpy(), task.column("part").to_numpy()
     parts = home.copy()
     texts = [np.frombuffer(c, np.uint32) for c in task.column("codes").to_pylist()]
     lengths = np.array([len(t) for t in texts])
-    words = np.array([np.bincount(t % BINS, minlength=BINS) for t in texts], np.int32).reshape(-1, BINS)
-    pivots: dict[int, tuple[int, dict[int, int]]] = {}
-    for part, n in zip(*np.unique(home, return_counts=True), strict=True):
-        if n >= PIVOT_NODES:
-            at = np.flatnonzero(home == part)
-            own = {int(v): banded_distance(texts[at[0]], texts[v], allowed(lengths[at[0]], lengths[v], similarity)) for v in at}
-            pivots[int(part)] = int(at[0]), {v: d for v, d in own.items() if d <= allowed(lengths[at[0]], lengths[v], similarity)}
-    to_pivot: dict[tuple[int, int], int] = {}
-
-    def least(x: int, y: int) -> int:
-        """A lower bound of the distance of x and y by the pivot of y's component."""
-        pivot, own = pivots.get(int(home[y]), (0, {}))
-        if y not in own or home[x] == home[y]:
-            return 0
-        key = x, int(home[y])
-        if key not in to_pivot:
-            to_pivot[key] = banded_distance(texts[x], texts[pivot], allowed(lengths[x], lengths[pivot], similarity) + max(own.values()), near=False)
-        return to_pivot[key] - own[y]
-
+    coarse, fine = histograms(texts, BINS[0]), None
     found = []
     for i in range(len(ids)):
         rest = slice(i + 1, None)
@@ -207,9 +189,12 @@ def settled(task: pa.Table, draws: np.ndarray, turn: int, similarity: float) ->
         possible &= np.argmax(draws[rest] == draws[i], axis=1) == turn
         js = np.flatnonzero(possible)
         if len(js):
-            js = js[np.abs(words[i + 1 + js] - words[i]).sum(1) <= 2 * most[js]]
-        for j, edits in zip((js + i + 1).tolist(), most[js].tolist(), strict=True):
-            if parts[i] != parts[j] and least(i, j) <= edits and least(j, i) <= edits and linked(texts[i], texts[j], similarity, near=False):
+            js = js[np.abs(coarse[i + 1 + js] - coarse[i]).sum(1) <= 2 * most[js]]
+        if len(js):
+            fine = histograms(texts, BINS[1]) if fine is None else fine
+            js = js[np.abs(fine[i + 1 + js] - fine[i]).sum(1) <= 2 * most[js]]
+        for j in (js + i + 1).tolist():
+            if parts[i] != parts[j] and linked(texts[i], texts[j], similarity, near=False):
                 found.append((home[i], home[j]))
                 parts[parts == parts[j]] = parts[i]
     return np.array(found, np.int64).reshape(-1, 2)
