@@ -70,14 +70,18 @@ def join_hot(rows: DataFrame, keyed: DataFrame, on: str | list[str], count: str,
     """rows joined with `keyed`, which has one row a key and in the column `count` how many of the `total` rows have that key.
 
     Keys with more than total / HOT_KEYS rows, of which there are fewer than HOT_KEYS, are broadcast,
-    so their rows stay where they are; the others meet by a shuffle in which no key is large. how:
-    inner or left. Both frames are read several times: they should be tables or cheap.
+    so their rows stay where they are; the others meet by a shuffle in which no key is large. Only
+    hashes of the hot keys come to the driver. how: inner or left. Both frames are read several times:
+    they should be tables or cheap.
     """
-    hot = keyed.where(F.col(count) * HOT_KEYS > total)
     on = [on] if isinstance(on, str) else on
-    few = rows.join(F.broadcast(hot), on)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(F.col(count) * HOT_KEYS <= total), on, how)
-    return few.unionByName(rest)
+    code = F.xxhash64(*on)
+    hot = [r[0] for r in keyed.where(F.col(count) * HOT_KEYS > total).select(code).collect()]
+    if not hot:
+        return rows.join(keyed, on, how)
+    is_hot = code.isin(hot)
+    few = rows.where(is_hot).join(F.broadcast(keyed.where(is_hot)), on, how)
+    return few.unionByName(rows.where(~is_hot).join(keyed.where(~is_hot), on, how))
 
 
 def dealt(df: DataFrame, by: list[str], run: Callable[[pa.Table], pa.Table], schema: str, order: Sequence[str] = ()) -> DataFrame:

@@ -26,10 +26,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = join_hot(edges, state.withColumnRenamed("node", "v"), "v", "degree", links_n)
         seen = near.groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
         hooked = written(state.join(seen, "node").select("node", "degree", F.col("component").alias("was"), F.least("component", "near").alias("p")), "hooked")
-        to = hooked.groupBy("p").agg(F.count("*").alias("followers")).join(state.select(F.col("node").alias("p"), F.col("component").alias("beyond")), "p")
+        to = written(hooked.groupBy("p").agg(F.count("*").alias("followers")).join(state.select(F.col("node").alias("p"), F.col("component").alias("beyond")), "p"), "to")
         new = written(join_hot(hooked, to, "p", "followers", n).select("node", "degree", "was", F.least("p", "beyond").alias("component")), "components")
-        drop_written(state)
-        drop_written(hooked)
+        for done in (state, hooked, to):
+            drop_written(done)
         if new.where("component <> was").isEmpty():
             drop_written(edges)
             return new.select("node", "component")

@@ -269,14 +269,14 @@ def _stars(shared: DataFrame, codes: DataFrame, similarity: float) -> DataFrame:
 def _between(shared: DataFrame, label: DataFrame, codes: DataFrame, similarity: float, seed: int) -> DataFrame:
     """Links a, b between the components of label, from buckets that hold nodes of several."""
     labelled = shared.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
-    mixed = labelled.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
+    mixed = written(labelled.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n"), "mixed")
     open_rows = written(join_hot(labelled, mixed, "bucket", "n", shared.count()).select("bucket", "node", "part"), "open")
     total = open_rows.count()
     sizes = written(open_rows.groupBy("bucket", "part").agg(F.count("*").alias("n")), "sizes")
     # A component that fills blocks has blocks of its own, which aren't compared with each other.
     large = F.col("n") >= BLOCK
     small = sizes.groupBy("bucket").agg(F.coalesce(F.sum(F.when(~large, F.col("n"))), F.lit(0)).alias("rest"))
-    spread = sizes.join(small, "bucket").select("bucket", "part", "n", F.when(large, F.col("part")).alias("own"), F.ceil(F.when(large, F.col("n")).otherwise(F.col("rest")) / BLOCK).cast("int").alias("blocks"))
+    spread = written(sizes.join(small, "bucket").select("bucket", "part", "n", F.when(large, F.col("part")).alias("own"), F.ceil(F.when(large, F.col("n")).otherwise(F.col("rest")) / BLOCK).cast("int").alias("blocks")), "spread")
     block = F.pmod(F.xxhash64(F.lit(seed), "node"), F.col("blocks")).cast("int")
     placed = join_hot(open_rows, spread, ["bucket", "part"], "n", total).select("bucket", "node", "part", F.struct("own", block.alias("block")).alias("unit"))
     units = spread.select("bucket", "own", "blocks").distinct().select("bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select("bucket", F.struct("own", "block").alias("unit"))
@@ -304,9 +304,10 @@ def _classed(prepared: DataFrame, similarity: float, seed: int, keep: tuple[str,
     members = written(prepared.groupBy("seq").agg(F.min("row").alias("node"), F.count("*").alias("n")), "members")
     drawn = prepared.select(F.col("row").alias("node"), "drawn").join(members.select("node"), "node", "left_semi")
     drawn = written(drawn.select("node", F.explode(F.array_distinct("drawn")).alias("bucket")), "buckets")
-    leads = drawn.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("n")).where("lead < last").select("bucket", "lead", "n")
+    leads = written(drawn.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("n")).where("lead < last").select("bucket", "lead", "n"), "leads")
     shared = written(join_hot(drawn, leads, "bucket", "n", drawn.count()), "shared")
-    drop_written(drawn)
+    for done in (drawn, leads):
+        drop_written(done)
     involved = shared.select("node").distinct()
     codes = written(prepared.select(F.col("row").alias("node"), "codes", "drawn").join(involved, "node", "left_semi"), "codes")
 
@@ -319,12 +320,13 @@ def _classed(prepared: DataFrame, similarity: float, seed: int, keep: tuple[str,
     joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("class"))
     drop_written(more)
     sizes = label.groupBy("component").agg(F.count("*").alias("n")).unionByName(joined.select("component", F.lit(0).cast("long").alias("n"))).groupBy("component").agg(F.sum("n").alias("n"))
-    named = join_hot(label, sizes.join(joined, "component", "left").select("component", "n", F.coalesce("class", "component").alias("class")), "component", "n", total).select("node", "class")
+    of_part = written(sizes.join(joined, "component", "left").select("component", "n", F.coalesce("class", "component").alias("class")), "parts")
+    named = join_hot(label, of_part, "component", "n", label.count()).select("node", "class")
     # Nodes without a label are components of one node, which a later link may have joined.
     single = joined.select(F.col("component").alias("node"), "class").join(named.select("node"), "node", "left_anti")
-    of_text = members.join(named.unionByName(single), "node", "left").select("seq", "n", F.coalesce("class", "node").alias("class"))
+    of_text = written(members.join(named.unionByName(single), "node", "left").select("seq", "n", F.coalesce("class", "node").alias("class")), "texts")
     rows = written(join_hot(prepared.select("id", "row", "seq", *keep), of_text, "seq", "n", total).select("id", "row", "class", *keep), "classes")
-    best = rows.groupBy("class").agg(F.min(F.struct("id", "row")).alias("best"), F.count("*").alias("n"))
-    drop_written(prepared)
-    drop_written(members)
+    best = written(rows.groupBy("class").agg(F.min(F.struct("id", "row")).alias("best"), F.count("*").alias("n")), "best")
+    for done in (prepared, members, of_part, of_text):
+        drop_written(done)
     return join_hot(rows, best, "class", "n", total).select("id", *keep, F.col("best.id").alias("class_id"), (F.col("best.row") == F.col("row")).alias("kept"))

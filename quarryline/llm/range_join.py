@@ -160,7 +160,7 @@ def near_links(nodes: DataFrame, cosine: float, seed: int = 7, block: int = BLOC
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
     placed = _placed(nodes, radius, seed)
     cell = ["group", "cell"]
-    sizes = placed.groupBy(*cell).agg(F.count("*").alias("n"))
+    sizes = written(placed.groupBy(*cell).agg(F.count("*").alias("n")), "sizes")
     split = join_hot(placed, sizes, cell, "n", placed.count()).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     split = split.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "g"), F.col("blocks")).cast("int"))
     # A pair of blocks (i, j), i <= j, is one task; a vector of block k goes to the pairs that hold k.
@@ -229,7 +229,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id",
     held = each.select("id", *on).join(several, "id").join(same.select(*on, "node"), on).select("id", F.col("node").alias("a"))
     chained = held.join(held.groupBy("id").agg(F.min("a").alias("b")), "id").select("a", "b")
     parts = components(links.unionByName(chained)).withColumnRenamed("component", "part")
-    known = same.join(counts, "g", "left").join(parts, "node", "left").select(*on, "rows", (F.coalesce("n_links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("part", "node").alias("part"))
+    known = written(same.join(counts, "g", "left").join(parts, "node", "left").select(*on, "rows", (F.coalesce("n_links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("part", "node").alias("part")), "known")
     component = F.coalesce("part", "id")
     out = join_hot(rows.select("id", *on), known, on, "rows", rows.count(), "left")
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
