@@ -257,7 +257,7 @@ READ: dict[str, Callable[[Element], str | None]] = {
 
 
 def spec_rows(root: Element, rows: str, first_table: bool = False) -> list[dict]:
-    """Cells of table rows: ord, table_idx, n_td, key (stripped, lower case), v1 (second cell), vlast."""
+    """Cells of table rows: ord, table_idx, n_td, key (stripped, in the case it is written in), v1 (second cell), vlast."""
     tables = {id(t): i for i, t in enumerate(select(root, "table"))}
     out = []
     for row in select(root, rows):

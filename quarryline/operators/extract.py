@@ -22,7 +22,7 @@ from .dispatch import supported
 from .specs import last_value
 
 #: Pages of an Arrow batch; a page may have tens of KB.
-BATCH_PAGES = 500
+BATCH_PAGES = 512
 TEXT_FIELDS = ("product_name", "authors", "publishers", "stock_qty", "ecommerce_description", "description_block", "face_value", "price", "image_url")
 RAW = T.StructType([*(T.StructField(f, T.StringType()) for f in TEXT_FIELDS), T.StructField("spec_rows", T.ArrayType(SPEC_ROW)), T.StructField("missing", T.ArrayType(T.StringType()))])
 
@@ -63,6 +63,12 @@ def body_text(html: pd.Series) -> pd.Series:
     return pd.Series([None if h is None else dom.text_space(dom.parse(h)) for h in html], dtype=object)
 
 
+@F.pandas_udf(T.StringType())
+def stripped_text(html: pd.Series) -> pd.Series:
+    """A page's text: every string stripped, joined without anything between."""
+    return pd.Series([None if h is None else dom.text_strip(dom.parse(h)) for h in html], dtype=object)
+
+
 def _typed(site: Site, name: str, raw: Column, strict: bool) -> Column:
     """A field of one site from its string; null where nothing was found."""
     rule = site.fields[name]
@@ -115,8 +121,8 @@ def extract(pages: DataFrame, sites: Iterable[str] | None = None, strict: bool =
     """Product records (schema EXTRACTED) of the pages of known sites.
 
     pages: page_id, url, html and, where a site needs a second look, html_specs. A page whose URL
-    lacks its site's guard, or that lacks an element its site always has, is `partial` and says
-    so in errors. strict keeps two odd readings: the first run of digits and dots as a price
+    lacks its site's guard, which is compared as written, is `failed`: nothing is read from it. One
+    that lacks an element its site always has is `partial`. Both say so in errors. strict keeps two odd readings: the first run of digits and dots as a price
     where thousands separators occur, and no description from a description block.
     """
     labels = list(SITES if sites is None else sites)
@@ -131,12 +137,14 @@ def extract(pages: DataFrame, sites: Iterable[str] | None = None, strict: bool =
         if p.guard:
             guard = guard.when((F.col("site") == p.label) & ~F.col("url").contains(p.guard), F.lit("guard"))
     guarded = F.lit(None).cast("string") if guard is F else guard
-    errors = F.concat(F.transform("raw.missing", lambda m: F.concat(F.lit("missing:"), m)), F.array_compact(F.array(guarded)))
+    missing = F.transform("raw.missing", lambda m: F.concat(F.lit("missing:"), m))
+    errors = F.when(guarded.isNull(), missing).otherwise(F.array(guarded))
     raw = F.col("raw")
-    fields = [_column(f.name, f.dataType.simpleString(), profiles, raw, strict) for f in EXTRACTED.fields if f.name not in ("page_id", "source_url", "site", "status", "errors", "author_ids", "publisher_ids")]
+    fields = [F.when(F.col("guarded").isNull(), _column(f.name, f.dataType.simpleString(), profiles, raw, strict)).alias(f.name) for f in EXTRACTED.fields if f.name not in ("page_id", "source_url", "site", "status", "errors", "author_ids", "publisher_ids")]
     none = F.array().cast("array<long>")
-    return walked.withColumn("errors", errors).select(
-        "page_id", F.col("url").alias("source_url"), "site", F.when(F.size("errors") > 0, "partial").otherwise("ok").alias("status"), "errors", *fields, none.alias("author_ids"), none.alias("publisher_ids")
+    status = F.when(F.col("guarded").isNotNull(), "failed").when(F.size("errors") > 0, "partial").otherwise("ok")
+    return walked.withColumn("guarded", guarded).withColumn("errors", errors).select(
+        "page_id", F.col("url").alias("source_url"), "site", status.alias("status"), "errors", *fields, none.alias("author_ids"), none.alias("publisher_ids")
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import catalog, dispatch, specs
-from ..operators.extract import body_text, extract, merge_previous, spec_rows
+from ..operators.extract import body_text, extract, merge_previous, spec_rows, stripped_text
 from .sites import SITES
 
 #: The driver's pages are of these labels; none of the real sites occurs.
@@ -143,12 +143,6 @@ def image_base64(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", S.base64_text(F.encode("text", "UTF-8")).alias("b64"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN p_brand ELSE p_name END AS chosen FROM part")
-def selector_fallback(spark, sf):
-    first, second = F.when(F.col("p_size") % 3 == 0, ""), F.when(F.col("p_size") % 3 == 1, F.col("p_brand"))
-    return _t(spark, sf, "part").select("p_partkey", F.coalesce(first, second, "p_name").alias("chosen"))
-
-
 @query("SELECT p_partkey AS page_id, CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN 'https:' || u WHEN p_size % 4 = 2 THEN 'https://shop.example' || substr(u, 2) ELSE 'x' || u END AS url, 'https://www.google.com/search?tbm=isch&q=' || replace(p_name, ' ', '+') AS search FROM (SELECT *, '//' || p_partkey AS u FROM part)")
 def url_helpers(spark, sf):
     u = F.concat(F.lit("//"), F.col("p_partkey").cast("string"))
@@ -190,40 +184,34 @@ def merge_with_previous(spark, sf):
     return merge_previous(new, part.select(F.col("p_partkey").alias("page_id"), F.col("p_brand").alias("product_name"), F.col("p_retailprice").alias("price")))
 
 
-@query()
-def text_strip(spark, sf):
-    return _spread(_t(spark, sf, "pages").select("page_id", "html")).select("page_id", body_text("html").alias("text"))
-
-
-@query()
-def spec_table(spark, sf):
-    return _spread(_t(spark, sf, "pages").select("page_id", "html")).select("page_id", F.explode_outer(spec_rows("html")).alias("row")).select("page_id", "row.*")
-
-
 #: A page of each site, to be filled with name, price, size and brand of a part.
-_BOOK = "<table><tr><td>Title</td><td>%1$s</td></tr><tr><td>ISBN</td><td>old</td></tr><tr><td>isbn no</td><td>%4$s</td></tr><tr><td>Publisher</td><td><b>%4$s</b> Co</td></tr><tr><td>পৃষ্ঠা</td><td>%3$d pages</td></tr><tr><td>Weight</td><td>%3$d.5 kg</td></tr></table>"
+_BOOK = "<table><tr><td>Title</td><td>%1$s</td></tr><tr><td>ISBN</td><td>old</td></tr><tr><td>isbn no</td><td>%4$s</td></tr><tr><td>Publisher</td><td><b>%4$s</b> Co</td></tr><tr><td>পৃষ্ঠা</td><td>%3$d pages</td></tr><tr><td>Weight</td><td>%3$d.5 kg</td></tr><tr><td>Edition</td><td>%3$d th</td></tr><tr><td>Language</td><td>Bangla</td></tr><tr><td>Country</td><td>%4$s</td></tr></table>"
+#: Sites of the press read the first table only.
+_SECOND = "<table><tr><td>isbn</td><td>second</td></tr></table>"
 TEMPLATES = {
     "rokomari": ("www.rokomari.com", '<del class="original-price">Tk. 9,%2$.2f</del><span class="x PriceTag">৳ %2$.2f</span><span id="available-quantity">only %3$d left</span><div class="book-Summary"> <p>%1$s</p> </div><script type="application/ld+json">{"image": "https://i/%3$d.jpg"}</script>' + _BOOK),
-    "pbs": ("pbs.com.bd", '<section><h5>বই সংক্ষেপ</h5></section><div><h5>x</h5><p>no</p></div><div class="grid"><img src="/_next/image?url=https%%253A%%252F%%252Fi%%252F%3$d.jpg&w=64"></div>' + _BOOK),
-    "guardianpubs": ("guardianpubs.com", '<div class="description"> %4$s </div><div class="grid"><img src="/_next/image?url=https%%253A%%252F%%252Fi%%252F%3$d.jpg"></div>' + _BOOK),
-    "khoshrozltd": ("khoshrozltd.com", '<span id="available-quantity"> %3$d </span><h1 class="mb-2 fs-20 fw-600"> %1$s</h1><div class="fs-16 opacity-60">%3$d.25</div><strong class="h4 fw-700 text-primary">৳%2$.2f</strong><div class="mw-100 text-left"><p>%4$s</p></div><img role="presentation" src="/i/%3$d.jpg"><table id="spec-table"><tr><th>x</th></tr><tr><td>Author</td><td>%4$s</td></tr><tr><td>Number of Pages</td><td>%3$d</td></tr></table>'),
+    "pbs": ("pbs.com.bd", '<section><h5>বই সংক্ষেপ</h5></section><div><h5>x</h5><p>no</p></div><div class="grid"><img src="/_next/image?url=https%%253A%%252F%%252Fi%%252F%3$d.jpg&w=64"></div>' + _BOOK + _SECOND),
+    "guardianpubs": ("guardianpubs.com", '<div class="description"> %4$s </div><div class="grid"><img src="/_next/image?url=https%%253A%%252F%%252Fi%%252F%3$d.jpg"></div>' + _BOOK + _SECOND),
+    "khoshrozltd": ("khoshrozltd.com", '<span id="available-quantity"> %3$d </span><h1 class="mb-2 fs-20 fw-600"> %1$s</h1><div class="fs-16 opacity-60">%3$d.25</div><strong class="h4 fw-700 text-primary">৳%2$.2f</strong><div class="mw-100 text-left"><p>%4$s</p></div><img role="presentation" src="/i/%3$d.jpg"><table id="spec-table"><tr><th>x</th></tr><tr><td>Author</td><td>%4$s</td></tr><tr><td>Number of Pages</td><td>%3$d</td></tr><tr><td>Last Edition</td><td>%3$d</td></tr></table>'),
     "sottayon": ("sottayon.com", '<span id="available-quantity">%3$d</span><h1 class="product_title entry">%1$s</h1><del><span class="woocommerce-Price-amount"><bdi>9%2$.2f ৳</bdi></span></del><ins><span class="woocommerce-Price-amount"><bdi>%2$.2f<span>৳</span></bdi></span></ins><div class="woocommerce-product-details__short-description">%4$s</div><img class="a wp-post-image" src="/i/%3$d.jpg">'),
     "esquireelectronicsltd": ("esquireelectronicsltd.com", '<div class="product-title">%1$s</div><div class="product-price"><h3>Tk %2$.2f</h3><del>Tk 9%2$.2f</del></div><p>x</p><div class="note-section"> %4$s </div><span id="available-quantity">%3$d in stock</span><div class="product-img-area"><a><img src="/i/%3$d.jpg"></a></div>' + _BOOK),
     "gadgetandgear": ("gadgetandgear.com", '<h1 class="Top_productName__i6Zp2">%1$s</h1><div class="product-price"><h3>৳%2$.2f</h3></div><span class="ProductCard_price__t9DLm">৳9%2$.2f</span><div> %4$s </div><div class="Top_attribute__uEqlP">x</div><span id="available-quantity">%3$d</span><img class="Top_image__3b3Bd" src="/i/%3$d.jpg">' + _BOOK),
 }
-_COLUMNS = "page_id, site, status, product_name, price, face_value, stock_qty, ecommerce_description, image_url, isbn, authors, publishers, pages, weight".split(", ")
+_COLUMNS = "page_id, site, status, product_name, price, face_value, stock_qty, ecommerce_description, image_url, isbn, authors, publishers, pages, weight, editions, language, country, publication_date".split(", ")
 _V = "p_partkey AS page_id, '{0}' AS site, 'ok' AS status, "
 _IMG = "'/i/' || p_size || '.jpg'"
 _NINE = "CAST('9' || printf('%.2f', p_retailprice) AS DOUBLE)"
-_DEVICE = f"p_name AS product_name, round(p_retailprice, 2) AS price, {_NINE} AS face_value, p_size AS stock_qty, p_brand AS ecommerce_description, {_IMG} AS image_url, p_brand AS isbn, '' AS authors, p_brand || 'Co' AS publishers, p_size AS pages, p_size + 0.5::DOUBLE AS weight FROM part"
-_PRESS = "p_name AS product_name, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS DOUBLE) AS face_value, CAST(NULL AS INT) AS stock_qty, {0} AS ecommerce_description, 'https://i/' || p_size || '.jpg' AS image_url, p_brand AS isbn, '' AS authors, p_brand || 'Co' AS publishers, CAST(NULL AS INT) AS pages, CAST(0 AS DOUBLE) AS weight FROM part"
+_BOOK_SQL = ", p_size || ' th' AS editions, 'Bangla' AS language, p_brand AS country, CAST(NULL AS VARCHAR) AS publication_date FROM part"
+_NONE_SQL = ", CAST(NULL AS VARCHAR) AS editions, CAST(NULL AS VARCHAR) AS language, CAST(NULL AS VARCHAR) AS country, {} AS publication_date FROM part"
+_DEVICE = f"p_name AS product_name, round(p_retailprice, 2) AS price, {_NINE} AS face_value, p_size AS stock_qty, p_brand AS ecommerce_description, {_IMG} AS image_url, p_brand AS isbn, '' AS authors, p_brand || 'Co' AS publishers, p_size AS pages, p_size + 0.5::DOUBLE AS weight" + _BOOK_SQL
+_PRESS = "p_name AS product_name, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS DOUBLE) AS face_value, CAST(NULL AS INT) AS stock_qty, {0} AS ecommerce_description, 'https://i/' || p_size || '.jpg' AS image_url, p_brand AS isbn, '' AS authors, p_brand || 'Co' AS publishers, CAST(NULL AS INT) AS pages, CAST(0 AS DOUBLE) AS weight" + _BOOK_SQL
 _EXTRACT_SQL = {
-    "rokomari": "p_name AS product_name, round(p_retailprice, 2) AS price, CAST('9' || printf('%.2f', p_retailprice) AS DOUBLE) AS face_value, p_size AS stock_qty, '<p>' || p_name || '</p>' AS ecommerce_description, 'https://i/' || p_size || '.jpg' AS image_url, p_brand AS isbn, '' AS authors, p_brand || 'Co' AS publishers, p_size AS pages, p_size + 0.5::DOUBLE AS weight FROM part",
+    "rokomari": "p_name AS product_name, round(p_retailprice, 2) AS price, CAST('9' || printf('%.2f', p_retailprice) AS DOUBLE) AS face_value, p_size AS stock_qty, '<p>' || p_name || '</p>' AS ecommerce_description, 'https://i/' || p_size || '.jpg' AS image_url, p_brand AS isbn, '' AS authors, p_brand || 'Co' AS publishers, p_size AS pages, p_size + 0.5::DOUBLE AS weight" + _BOOK_SQL,
     "pbs": _PRESS.format("'no'"),
     "guardianpubs": _PRESS.format("p_brand"),
-    "khoshrozltd": f"p_name AS product_name, round(p_retailprice, 2) AS price, p_size + 0.25::DOUBLE AS face_value, p_size AS stock_qty, '<p>' || p_brand || '</p>' AS ecommerce_description, {_IMG} AS image_url, CAST(NULL AS VARCHAR) AS isbn, p_brand AS authors, CAST(NULL AS VARCHAR) AS publishers, p_size AS pages, CAST(NULL AS DOUBLE) AS weight FROM part",
-    "sottayon": f"p_name AS product_name, round(p_retailprice, 2) AS price, {_NINE} AS face_value, p_size AS stock_qty, p_brand AS ecommerce_description, {_IMG} AS image_url, CAST(NULL AS VARCHAR) AS isbn, CAST(NULL AS VARCHAR) AS authors, CAST(NULL AS VARCHAR) AS publishers, CAST(NULL AS INT) AS pages, CAST(NULL AS DOUBLE) AS weight FROM part",
-    "esquireelectronicsltd": _DEVICE.replace("p_name AS product_name", "p_name AS product_name"),
+    "khoshrozltd": f"p_name AS product_name, round(p_retailprice, 2) AS price, p_size + 0.25::DOUBLE AS face_value, p_size AS stock_qty, '<p>' || p_brand || '</p>' AS ecommerce_description, {_IMG} AS image_url, CAST(NULL AS VARCHAR) AS isbn, p_brand AS authors, CAST(NULL AS VARCHAR) AS publishers, p_size AS pages, CAST(NULL AS DOUBLE) AS weight" + _NONE_SQL.format("CAST(p_size AS VARCHAR)"),
+    "sottayon": f"p_name AS product_name, round(p_retailprice, 2) AS price, {_NINE} AS face_value, p_size AS stock_qty, p_brand AS ecommerce_description, {_IMG} AS image_url, CAST(NULL AS VARCHAR) AS isbn, CAST(NULL AS VARCHAR) AS authors, CAST(NULL AS VARCHAR) AS publishers, CAST(NULL AS INT) AS pages, CAST(NULL AS DOUBLE) AS weight" + _NONE_SQL.format("CAST(NULL AS VARCHAR)"),
+    "esquireelectronicsltd": _DEVICE,
     "gadgetandgear": _DEVICE,
 }
 
@@ -246,3 +234,45 @@ def _add_extract(site: str) -> None:
 
 for _site in SITES:
     _add_extract(_site)
+
+
+def _from_part(spark, sf, body: str, *fields: str) -> DataFrame:
+    """page_id and html of a page for each part."""
+    part = _spread(_t(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice", "p_size", "p_brand"))
+    return part.select(F.col("p_partkey").alias("page_id"), "p_size", F.format_string(body, *fields).alias("html"))
+
+
+@query("SELECT p_partkey AS page_id, round(p_retailprice, 2) AS face_value FROM part")
+def selector_fallback(spark, sf):
+    """Each selector of a chain is the first that matches in a third of the pages; the others hold decoys."""
+    part = _spread(_t(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size"))
+    price = F.format_string("Tk. %,.2f", "p_retailprice")
+    third = F.concat(F.lit("<del>"), F.when(F.col("p_size") % 3 == 0, price).otherwise("Tk 1"), F.lit("</del>"))
+    second = F.when(F.col("p_size") % 3 == 1, F.concat(F.lit('<span class="price-original">'), price, F.lit("</span>"))).when(F.col("p_size") % 3 == 2, F.lit('<span class="price-original">2</span>')).otherwise("")
+    first = F.when(F.col("p_size") % 3 == 2, F.concat(F.lit('<del class="x original-price">'), price, F.lit("</del>"))).otherwise("")
+    url = F.concat(F.lit("https://www.rokomari.com/"), F.col("p_partkey").cast("string"))
+    return extract(part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), F.concat(third, second, first).alias("html")), ["rokomari"]).select("page_id", "face_value")
+
+
+_TEXTS = "<body> <h1> %s <b> %s</b></h1><script>x</script>\n<p>%d </p>&nbsp;<!-- c --></body>"
+
+
+@query("SELECT p_partkey AS page_id, p_name || p_brand || p_size AS text FROM part")
+def text_strip(spark, sf):
+    return _from_part(spark, sf, _TEXTS, "p_name", "p_brand", "p_size").select("page_id", stripped_text("html").alias("text"))
+
+
+@query("SELECT p_partkey AS page_id, p_name || ' ' || p_brand || ' ' || p_size AS text FROM part")
+def text_space(spark, sf):
+    return _from_part(spark, sf, _TEXTS, "p_name", "p_brand", "p_size").select("page_id", body_text("html").alias("text"))
+
+
+_ROWS = [("Title", "p_name"), ("ISBN", "'old'"), ("isbn no", "p_brand"), ("Publisher", "p_brand || 'Co'"), ("পৃষ্ঠা", "p_size || ' pages'"), ("Weight", "p_size || '.5 kg'"), ("Edition", "p_size || ' th'"), ("Language", "'Bangla'"), ("Country", "p_brand")]
+_ROW_SQL = ", ".join(f"{{'ord': {i}, 'table_idx': 0, 'n_td': 2, 'key': '{k}', 'v1': {v}, 'vlast': {v}}}" for i, (k, v) in enumerate(_ROWS))
+
+
+@query(f"""SELECT page_id, r.ord AS ord, r.table_idx AS table_idx, r.n_td AS n_td, r.key AS key, r.v1 AS v1, r.vlast AS vlast FROM (SELECT p_partkey AS page_id, unnest([{_ROW_SQL}]) AS r FROM part)
+UNION ALL SELECT p_partkey, 9, 1, 2, 'isbn', 'second', 'second' FROM part""")
+def spec_table(spark, sf):
+    pages = generated_pages(spark, sf, "pbs")
+    return pages.select("page_id", F.explode(spec_rows("html")).alias("row")).select("page_id", "row.*")

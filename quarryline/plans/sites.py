@@ -15,7 +15,6 @@ class Rule:
     scalar: str = "text"
     default: object = None
     required: bool = False
-    from_specs: bool = False
 
 
 @dataclass(frozen=True)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import http.client
+import http.cookiejar
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -14,9 +18,13 @@ from pyspark.sql.types import StructType
 
 from ..schemas import PAGES
 
-#: Statuses worth another try, tries, and seconds that a page may take.
-RETRY_STATUS, TRIES, TIMEOUT_S = (429, 500, 502, 503, 504), 3, 15
-AGENT = "Mozilla/5.0 (X11; Linux x86_64)"
+#: Statuses worth another try, tries, seconds that a host's first page and a page may take, and a browser's headers.
+RETRY_STATUS, TRIES, WARM_UP_S, TIMEOUT_S = (429, 500, 502, 503, 504), 3, 10, 15
+HEADERS = {
+    "User-Agent": "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36",
+    "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8",
+    "Accept-Language": "en-US,en;q=0.9",
+}
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -30,27 +38,85 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def fetch(url: str, home: str | None = None, backoff_s: float = 1.0) -> tuple[int | None, bytes | None, str | None]:
-    """status, body, error of one GET with retries; never raises. home is asked first, as a browser would."""
-    error, status = None, None
-    if home:
+class Session:
+    """One browser-like session: cookies are kept, and each host's home page is asked for once before its other pages."""
+
+    def __init__(self, backoff_s: float = 1.0, warm_up: bool = True):
+        self.opener = urllib.request.build_opener(urllib.request.HTTPCookieProcessor(http.cookiejar.CookieJar()))
+        self.opener.addheaders = list(HEADERS.items())
+        self.backoff, self.warm_up, self.known = backoff_s, warm_up, set()
+
+    def _warm(self, url: str) -> None:
+        parts = urllib.parse.urlsplit(url)
+        home = f"{parts.scheme}://{parts.netloc}/"
+        if self.warm_up and home not in self.known:
+            self.known.add(home)
+            try:
+                self.opener.open(home, timeout=WARM_UP_S).close()
+            except (OSError, ValueError, http.client.HTTPException):
+                pass
+
+    def get(self, url: str | None) -> tuple[int | None, bytes | None, str | None, str | None]:
+        """status, body, charset, error of one GET with retries; never raises."""
+        status, error = None, "no address"
+        if not url:
+            return None, None, None, error
         try:
-            urllib.request.urlopen(urllib.request.Request(home, headers={"User-Agent": AGENT}), timeout=10).close()
-        except (OSError, ValueError):
-            pass
-    for attempt in range(TRIES + 1):
+            self._warm(url)
+        except ValueError as e:
+            return None, None, None, str(e)
+        for attempt in range(TRIES + 1):
+            try:
+                with self.opener.open(url, timeout=TIMEOUT_S) as r:
+                    return r.status, r.read(), r.headers.get_content_charset(), None
+            except urllib.error.HTTPError as e:
+                status, error = e.code, str(e)
+                if e.code not in RETRY_STATUS:
+                    break
+            except (OSError, ValueError, http.client.HTTPException) as e:
+                status, error = None, str(e)
+            if attempt < TRIES:
+                time.sleep(self.backoff * 2**attempt)
+        return status, None, None, error
+
+    def page(self, url: str | None) -> str | None:
+        """A page's text in its own charset (UTF-8 where it names none that is known), null where the fetch failed."""
+        _, body, charset, _ = self.get(url)
+        if body is None:
+            return None
         try:
-            with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": AGENT}), timeout=TIMEOUT_S) as r:
-                return r.status, r.read(), None
-        except urllib.error.HTTPError as e:
-            status, error = e.code, str(e)
-            if e.code not in RETRY_STATUS:
-                break
-        except (OSError, ValueError) as e:
-            status, error = None, str(e)
-        if attempt < TRIES:
-            time.sleep(backoff_s * 2**attempt)
-    return status, None, error
+            return body.decode(charset or "utf-8", "replace")
+        except LookupError:
+            return body.decode("utf-8", "replace")
+
+
+def fetch_pages(urls: DataFrame, backoff_s: float = 1.0, warm_up: bool = True) -> DataFrame:
+    """PAGES for a table of page_id and url: one session a task, pages of a host in the same tasks; html is null where a fetch failed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session = Session(backoff_s, warm_up)
+        for batch in batches:
+            html = pa.array([session.page(u) for u in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), html, pa.nulls(len(html), pa.string())], names=["page_id", "url", "html", "html_specs"])
+
+    host = F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    rows = urls.select(F.col("page_id").cast("long"), "url").withColumn("host", host)
+    # A host's pages stay together so that it is warmed up seldom, in at most 16 tasks.
+    spread = rows.repartition("host", F.pmod(F.xxhash64("page_id"), F.lit(16)))
+    return spread.select("page_id", "url").mapInArrow(run, PAGES)
+
+
+def fetch_images(records: DataFrame, key: str = "page_id", url: str = "image_url", backoff_s: float = 1.0) -> DataFrame:
+    """key and content (binary) of the images that records name; content is null for any status but 200."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session = Session(backoff_s, warm_up=False)
+        for batch in batches:
+            got = [session.get(u) for u in batch.column(1).to_pylist()]
+            content = pa.array([body if status == 200 else None for status, body, _, _ in got], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), content], names=["key", "content"])
+
+    return records.select(F.col(key).cast("long").alias("key"), url).mapInArrow(run, "key long, content binary").withColumnRenamed("key", key)
 
 
 class _Urls(InputPartition):
@@ -62,7 +128,7 @@ class _PageReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.urls = [u for u in options.get("urls", "").split("\n") if u]
         self.each = int(options.get("urlsPerTask", "50"))
-        self.home = options.get("home")
+        self.warm_up = options.get("warmUp", "true").lower() == "true"
         self.backoff = float(options.get("backoffSeconds", "1"))
 
     def partitions(self):
@@ -70,13 +136,16 @@ class _PageReader(DataSourceReader):
         return [_Urls(rows[i : i + self.each]) for i in range(0, len(rows), self.each)] or [_Urls([])]
 
     def read(self, partition) -> Iterator[tuple]:
+        session = Session(self.backoff, self.warm_up)
         for i, url in partition.rows:
-            _, body, _ = fetch(url, self.home, self.backoff)
-            yield i, url, None if body is None else body.decode("utf-8", "replace"), None
+            yield i, url, session.page(url), None
 
 
 class HttpPages(DataSource):
-    """spark.read.format("http_pages").option("urls", one per line): pages as PAGES, html null where a fetch failed."""
+    """spark.read.format("http_pages").option("urls", one per line): pages as PAGES, html null where a fetch failed.
+
+    For a handful of addresses; fetch_pages takes a table of them.
+    """
 
     @classmethod
     def name(cls) -> str:

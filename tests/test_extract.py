@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from quarryline.operators.catalog import catalog_local, catalog_remote, linked_ids, with_links
+from quarryline.operators.catalog import catalog_local, catalog_remote, linked_ids, with_category, with_links
 from quarryline.operators.dispatch import rejected
 from quarryline.operators.extract import extract
 from quarryline.plans.queries import generated_pages
@@ -37,6 +38,21 @@ def test_missing_and_guard(spark):
     assert all(r["status"] in ("ok", "partial") for r in out)
 
 
+def test_guard_stops_all_fields(spark):
+    html = '<del>Tk 5</del><span id="available-quantity">3</span>' + table(("Title", "S"))
+    out = extract(pages(spark, ("https://WWW.ROKOMARI.COM/1", html), ("https://www.rokomari.com/1", html))).orderBy("page_id").collect()
+    assert (out[0]["status"], out[0]["errors"]) == ("failed", ["guard"])
+    assert all(out[0][c] is None for c in ("product_name", "face_value", "price", "stock_qty", "isbn", "pages", "ecommerce_description"))
+    assert (out[1]["status"], out[1]["product_name"], out[1]["face_value"], out[1]["stock_qty"]) == ("ok", "S", 5.0, 3)
+
+
+def test_category(spark, sf):
+    records = extract(generated_pages(spark, sf, "sottayon")).where("page_id <= 3").withColumn("categ_id", F.col("page_id") * 10)
+    out = with_category(records, spark.createDataFrame([(10,), (30,), (30,)], "categ_id long"))
+    assert {r["page_id"]: r["categ_id"] for r in out.collect()} == {1: 10, 2: None, 3: 30}
+    assert {r["categ_id"] for r in catalog_local(out).collect()} == {10, None, 30}
+
+
 def test_price_falls_back_to_face_value(spark):
     html = '<div class="fs-16 opacity-60">৳12.50</div><strong class="h4 fw-700 text-primary">free</strong>'
     thousands = '<strong class="h4 fw-700 text-primary">৳1,250.00</strong>'

@@ -3,11 +3,13 @@ import threading
 import xmlrpc.server
 
 import pytest
+from pyspark.sql import functions as F
 
+from quarryline.plans.jobs import create_remote, fetch_products
 from quarryline.plans.queries import generated_pages
 from quarryline.schemas import PAGES
-from quarryline.sources.pages import HttpPages, read_pages
-from quarryline.sources.sinks import append_catalog, push_remote
+from quarryline.sources.pages import HttpPages, Session, fetch_images, fetch_pages, read_images, read_pages
+from quarryline.sources.sinks import append_catalog, push_remote, replace_links
 from quarryline.streaming.ingest import page_stream, run_ingest
 
 
@@ -16,6 +18,23 @@ class Handler(http.server.BaseHTTPRequestHandler):
 
     def do_GET(self):
         n = self.seen[self.path] = self.seen.get(self.path, 0) + 1
+        if self.path == "/":
+            self.send_response(200)
+            self.send_header("Set-Cookie", "visit=yes; Path=/")
+            self.end_headers()
+            return
+        if self.path == "/latin":  # only for those who have been at the home page, as a browser
+            known = "visit=yes" in self.headers.get("Cookie", "") and "Chrome" in self.headers["User-Agent"]
+            self.send_response(200 if known else 403)
+            self.send_header("Content-Type", "text/html; charset=iso-8859-1")
+            self.end_headers()
+            self.wfile.write("<h1>é</h1>".encode("latin-1"))
+            return
+        if self.path in ("/image", "/created"):
+            self.send_response(200 if self.path == "/image" else 201)
+            self.end_headers()
+            self.wfile.write(b"\x89PNG")
+            return
         ok = self.path == "/ok" or (self.path == "/flaky" and n > 1)
         self.send_response(200 if ok else 503 if self.path == "/flaky" else 404)
         self.end_headers()
@@ -40,6 +59,39 @@ def test_http_pages(spark, server):
     assert [r["html"] for r in rows] == ["<h1>ৎ</h1>", "<h1>ৎ</h1>", None]
 
 
+def test_session_keeps_cookies(spark, server):
+    Handler.seen.clear()
+    urls = [(i, f"{server}/{p}") for i, p in enumerate(("latin", "ok", "flaky", "gone"))] + [(4, None), (5, "nonsense"), (6, "http://[bad")]
+    df = spark.createDataFrame(urls, "page_id long, url string").withColumn("extra", F.lit(1))
+    got = {r["page_id"]: r["html"] for r in fetch_pages(df.coalesce(1), backoff_s=0.01).collect()}
+    assert got == {0: "<h1>é</h1>", 1: "<h1>ৎ</h1>", 2: "<h1>ৎ</h1>", 3: None, 4: None, 5: None, 6: None}
+    assert Handler.seen["/flaky"] == 2 and Handler.seen["/gone"] == 1
+    session = Session(0.01)
+    assert [session.page(f"{server}/latin") for _ in range(3)] == ["<h1>é</h1>"] * 3
+    Handler.seen.clear()
+    assert Session(0.01, warm_up=False).get(f"{server}/latin")[0] == 403 and "/" not in Handler.seen
+
+
+def test_images(spark, server, tmp_path):
+    rows = spark.createDataFrame([(1, f"{server}/image"), (2, f"{server}/created"), (3, f"{server}/gone"), (4, None)], "page_id long, image_url string")
+    got = {r["page_id"]: r["content"] for r in fetch_images(rows, backoff_s=0.01).collect()}
+    assert {k: v and bytes(v) for k, v in got.items()} == {1: b"\x89PNG", 2: None, 3: None, 4: None}
+    (tmp_path / "a.png").write_bytes(b"abc")
+    assert [bytes(r["content"]) for r in read_images(spark, str(tmp_path)).collect()] == [b"abc"]
+
+
+def test_links_are_replaced(spark, tmp_path):
+    for ids in ([1, 2], [3]):
+        replace_links(spark.createDataFrame([(7, ids)], "wizard_id long, ids array<long>"), str(tmp_path / "l"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "l")).collect()] == [(7, [3])]
+
+
+def test_unknown_sites_are_not_fetched(spark, server):
+    Handler.seen.clear()
+    urls = spark.createDataFrame([(1, f"{server}/ok")], "page_id long, url string")
+    assert fetch_products(urls, backoff_s=0.01).count() == 0 and not Handler.seen
+
+
 def test_read_pages(spark, sf):
     assert read_pages(spark, f"{sf}/pages.parquet").schema.names == PAGES.names
 
@@ -51,13 +103,14 @@ def test_append(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "c")).count() == 6
 
 
-def test_remote(spark):
-    made = {}
+def test_remote(spark, server):
+    made, sent = {}, []
 
     def execute_kw(db, uid, word, model, method, args):
         if method == "search":
             return [made[args[0][0][2]]] if args[0][0][2] in made else []
         made[args[0]["default_code"]] = len(made) + 1
+        sent.append(args[0])
         return len(made)
 
     s = xmlrpc.server.SimpleXMLRPCServer(("127.0.0.1", 0), logRequests=False, allow_none=True)
@@ -69,6 +122,10 @@ def test_remote(spark):
     url = f"http://127.0.0.1:{s.server_address[1]}"
     for _ in range(2):  # a second run finds what the first made
         assert sorted((r["page_id"], r["remote_id"]) for r in push_remote(rows, url, "d", "u", lambda: "w").collect()) == [(1, 1), (2, 2)]
+    records = spark.createDataFrame([(9, "n", 1.5, 2.0, "d", f"{server}/image"), (10, "m", 1.5, 2.0, "d", None)], "page_id long, product_name string, price double, face_value double, ecommerce_description string, image_url string")
+    assert {r["page_id"] for r in create_remote(records, url, "d", "u", lambda: "w", 0.01).collect() if r["remote_id"]} == {9, 10}
+    by_name = {x["name"]: x for x in sent}
+    assert by_name["n"]["image_1920"] == "iVBORw==" and by_name["n"]["standard_price"] == 1.5 and "image_1920" not in by_name["m"]
     assert {r["error"] for r in push_remote(rows, url, "d", "u", lambda: "x").collect()} == {"authentication failed"}
     s.shutdown()
 
