@@ -179,7 +179,8 @@ def with_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     """key, n_bytes long, media binary: each whole text as an Ogg file.
 
     A null text counts as empty: 64 samples 0. Equal texts give equal files. Keys are carried as
-    they are (null and repeated ones too); other columns are dropped. Narrow, no shuffle.
+    they are (null and repeated ones too); other columns, whatever their names, are dropped. Texts of
+    any length are stored whole; an empty table gives no rows. Narrow, no shuffle.
     """
 
     def make():

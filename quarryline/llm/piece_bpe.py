@@ -127,8 +127,9 @@ def piece_round_trip(docs: DataFrame, model_path: str, text: str = "text", key:
     """Encode every whole text and decode the ids.
 
     Returns key, ids array<int>, decoded string. A null text counts as empty; an empty text has
-    no ids and decodes to ''. Keys are carried as they are (null and repeated ones too); other
-    columns are dropped. One narrow pass, no shuffle.
+    no ids and decodes to ''. Texts of any length are encoded whole. Keys are carried as they are
+    (null and repeated ones too); other columns, whatever their names, are dropped. An empty table
+    gives no rows. One narrow pass, no shuffle.
     """
 
     def make():

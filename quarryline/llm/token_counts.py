@@ -109,8 +109,9 @@ def _counter(path: str) -> UnigramCounter:
 def token_counts(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_tokens long, score double (of the best path) for every whole text.
 
-    A null text counts as empty, which has 0 tokens and score 0. Keys are carried as they are
-    (null and repeated ones too); other columns are dropped. One narrow pass, no shuffle.
+    A null text counts as empty, which has 0 tokens and score 0. Texts of any length are counted
+    whole. Keys are carried as they are (null and repeated ones too); other columns, whatever their
+    names, are dropped. An empty table gives no rows. One narrow pass, no shuffle.
     """
 
     def make():

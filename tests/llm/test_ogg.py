@@ -66,3 +66,21 @@ def test_columns(spark):
     bad = ogg.media_features(df.select("doc_id", "media")).collect()
     assert all(r["error"] and r["feature"] is None for r in bad)
     assert ogg.media_features(ogg.with_media(df.limit(0))).count() == 0
+
+
+def test_query_digests(spark, sf):
+    import hashlib
+    import zlib
+
+    from quarryline.llm.queries import op2_ogg_media
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op2_ogg_media(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        raw = texts[r["doc_id"]]
+        payload = raw + b"\0" * (max(1, -(-len(raw) // 64)) * 64 - len(raw))
+        stored = ogg.write_ogg(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert f"us={len(payload) * 1_000_000 // 8000}" in r["feature"]

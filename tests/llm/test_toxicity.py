@@ -123,3 +123,50 @@ def test_pipeline(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, out, sf)
     assert {(r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()} == {(None, None, None), (1, "", 0), (2, "[secret] x", 10)}
+
+
+def test_pipeline_of_empty_tables(spark, sf, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_equal_plain_versions(spark, sf):
+    from quarryline.llm import order_minhash as om
+    from quarryline.llm.queries import op5_secrets
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    score = tox.fit(docs, spark.read.parquet(f"{sf}/labels.parquet")).scorer()
+    clean = {i for i, t in texts.items() if score(t) < 0.5}
+    assert {r["doc_id"] for r in corpus_pipeline.toxicity(spark, docs, sf).collect()} == clean
+    # The smallest id of each component of links, by comparing all pairs.
+    codes = {i: om.word_codes(t) for i, t in sorted(texts.items())}
+    root = {i: i for i in codes}
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in codes:
+        for j in codes:
+            if i < j and abs(len(codes[i]) - len(codes[j])) <= om.allowed(len(codes[i]), len(codes[j]), 0.8) and find(i) != find(j) and om.linked(codes[i], codes[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicate(spark, docs, sf).collect()} == {i for i in root if find(i) == i}
+    spans = {r["doc_id"]: r["spans"] for r in op5_secrets(spark, sf).collect()}
+    for r in corpus_pipeline.secrets(spark, docs, sf).collect():
+        want, at = "", 0
+        for _, start, end in (s.split(":") for s in spans[r["doc_id"]].split(",") if s):
+            if int(start) >= at:
+                want += texts[r["doc_id"]][at : int(start)] + "[secret]"
+            at = max(at, int(end))
+        assert r["text"] == want + texts[r["doc_id"]][at:] and r["n_chars"] == len(r["text"])
+
+
+def test_pipeline_does_not_depend_on_partitions(spark, sf):
+    def kept():
+        return sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, sf).collect())
+
+    one = kept()
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert kept() == one
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
