@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 
 import ahocorasick
 import numpy as np
@@ -51,13 +52,17 @@ class PieceBpe:
 
     def merges(self, symbols: list[str]) -> list[str]:
         """Plain merging of a short list of symbols: best score first, leftmost among equals."""
-        symbols = list(symbols)
-        while True:
-            best = max(((self.score[a + b], -i) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if a + b in self.score), default=None)
-            if best is None:
-                return symbols
-            i = -best[1]
+        symbols, score, never = list(symbols), self.score.get, -math.inf
+        scores = [score(a + b, never) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while scores and (best := max(scores)) > never:
+            i = scores.index(best)
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = score(symbols[i - 1] + symbols[i], never)
+            if i < len(scores):
+                scores[i] = score(symbols[i] + symbols[i + 1], never)
+        return symbols
 
     def compatible(self, pair: tuple[str, str]) -> bool:
         """Whether merging leaves the two pieces of a pair apart; remembered."""
