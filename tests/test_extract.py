@@ -49,7 +49,7 @@ def test_guard_stops_all_fields(spark):
 def test_category(spark, sf):
     records = extract(generated_pages(spark, sf, "sottayon")).where("page_id <= 3").withColumn("categ_id", F.col("page_id") * 10)
     out = with_category(records, spark.createDataFrame([(10,), (30,), (30,)], "categ_id long"))
-    assert {r["page_id"]: r["categ_id"] for r in out.collect()} == {1: 10, 2: None, 3: 30}
+    assert {r["page_id"]: r["categ_id"] for r in out.collect()} == {0: None, 1: 10, 2: None, 3: 30}
     assert {r["categ_id"] for r in catalog_local(out).collect()} == {10, None, 30}
 
 
