@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunk_recipes import exact_duplicates
 from .common import table
 from .ogg import media_features, with_media
 from .order_minhash import near_duplicates
@@ -77,8 +78,12 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_token_counts, op2_ogg_media, op3_order_minhash, op4_token_files, op5_secrets, op6_packing, op7_sharding, op8_range_join, op9_toxicity, op10_piece_bpe)
+    ops = (op1_token_counts, op2_ogg_media, op3_order_minhash, op4_token_files, op5_secrets, op6_packing, op7_sharding, op8_range_join, op9_toxicity, op10_piece_bpe, op11_chunk_recipes)
     return {f.__name__: f for f in ops}
 
 
@@ -100,5 +105,12 @@ SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, ve
 FROM parts LEFT JOIN counts USING (vec_id)"""
 
 
+DUPLICATES_SQL = """
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM (
+  SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, sha256(t) AS text_sha256
+  FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+  WINDOW same AS (PARTITION BY t))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secrets": report_sql(train(labelled_samples())), "op8_range_join": RANGE_JOIN_SQL}
+    return {"op5_secrets": report_sql(train(labelled_samples())), "op8_range_join": RANGE_JOIN_SQL, "op11_chunk_recipes": DUPLICATES_SQL}

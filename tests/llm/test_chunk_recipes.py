@@ -1,0 +1,102 @@
+import hashlib
+import random
+from collections import Counter
+
+import pytest
+from oracle import same
+from pyspark.sql import functions as F
+
+from quarryline.llm import queries
+from quarryline.llm.chunk_recipes import LEAST, MOST, chunks, code_of, deduplicated, exact_duplicates, normalised
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def check(rows, got):
+    """rows: (key, text) of the input; got: collected exact_duplicates()."""
+    groups = {}
+    for key, text in rows:
+        groups.setdefault(lower(text), []).append(key)
+    want, kept = Counter(), Counter()
+    for text, keys in groups.items():
+        keep = max((k for k in keys if k is not None), default=None)
+        h = hashlib.sha256(text.encode()).hexdigest()
+        want.update((k, keep, len(keys), h) for k in keys)
+        kept[keep, h] += 1
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == want
+    assert Counter((r["doc_id"], r["text_sha256"]) for r in got if r["kept"]) == kept
+
+
+def words(draw, n):
+    return " ".join(draw.choices(["One", "two", "ÄÖ", "it's", "seven", "11"], k=n))
+
+
+def make_rows():
+    draw = random.Random(5)
+    long = words(draw, 40_000)
+    rows = [(i, words(draw, draw.choice([0, 1, 2, 300, 900]))) for i in range(200)]
+    rows += [(300, long), (301, long.upper().replace("Ä", "ä").replace("Ö", "ö")), (302, long.upper()), (303, long[:-1] + "x"), (304, long[1:]), (305, long), (305, long)]
+    rows += [(400, None), (401, ""), (None, "One two"), (None, "one two"), (None, None), (402, "\u212a"), (403, "K"), (404, "k"), (405, "a" * 300_000), (406, "A" * 300_000), (407, "a" * 300_001)]
+    return rows
+
+
+@pytest.mark.parametrize("bits", [128, 3, 0])
+def test_equals_brute_force(spark, bits):
+    """Also where many or all chunks share a code."""
+    rows = make_rows()
+    code = code_of if bits == 128 else lambda c: bytes([code_of(c)[0] >> (8 - bits)])
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, recipe string, row int").withColumnRenamed("recipe", "a.b").repartition(5)
+    check(rows, exact_duplicates(df, code=code).collect())
+
+
+def test_chunks_cover_texts_and_follow_content():
+    draw = random.Random(1)
+    for n in (0, 1, LEAST, LEAST + 1, MOST + 1, 3_000_000):
+        text = draw.randbytes(n)
+        parts = chunks(text)
+        assert b"".join(parts) == text and all(LEAST <= len(p) <= MOST for p in parts[:-1]) and all(parts)
+    moved = chunks(b"a few more bytes" + text)
+    assert len(set(moved) & set(parts)) > len(parts) - 5 and 2500 < len(text) / len(parts) < 7500
+    assert [len(p) for p in chunks(b"a" * (2 * MOST + 5))] in ([MOST, MOST, 5], [LEAST] * (2 * MOST // LEAST) + [5])
+
+
+def test_one_chunk_of_a_window_at_a_stride():
+    """Stops are the same wherever strides end."""
+    from quarryline.llm import chunk_recipes as cr
+
+    text = random.Random(2).randbytes(200_000)
+    whole = chunks(text)
+    was, cr.STRIDE = cr.STRIDE, 777
+    try:
+        assert chunks(text) == whole
+    finally:
+        cr.STRIDE = was
+
+
+def test_normalised():
+    assert normalised("AÄZk[\u212a".encode()).decode() == "aÄzk[\u212a" and normalised(None) == b""
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    out = exact_duplicates(empty)
+    assert out.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"] and out.count() == 0
+
+
+def test_deduplicated_keeps_columns(spark):
+    rows = [(1, "A", {"k": 1}, 9), (2, "a", {"k": 2}, 8), (2, "a", {"k": 2}, 8), (3, None, None, 7), (None, "", None, 6), (None, "z", {}, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, x int").withColumnRenamed("x", "h.k")
+    out = deduplicated(df)
+    assert out.columns == df.columns
+    assert sorted((str(r["doc_id"]), str(r["text"]), str(r["m"]), r["h.k"]) for r in out.collect()) == [("2", "a", "{'k': 2}", 8), ("3", "None", "None", 7), ("None", "z", "{}", 5)]
+
+
+def test_invalid_text(spark):
+    df = spark.range(3).select(F.col("id").alias("doc_id"), F.expr("cast(X'41FF' as string)").alias("text"))
+    assert {(r["keep_id"], r["group_size"]) for r in exact_duplicates(df).collect()} == {(2, 3)}
+
+
+def test_query(spark, sf):
+    same(spark, sf, queries.op11_chunk_recipes, queries.oracle_sql()["op11_chunk_recipes"])
