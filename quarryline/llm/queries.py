@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .chunk_recipes import exact_duplicates
 from .common import table
+from .hard_negatives import hard_negatives
 from .ogg import media_features, with_media
 from .order_minhash import near_duplicates
 from .packing import packed
@@ -82,8 +83,14 @@ def op11_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_ball_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_token_counts, op2_ogg_media, op3_order_minhash, op4_token_files, op5_secrets, op6_packing, op7_sharding, op8_range_join, op9_toxicity, op10_piece_bpe, op11_chunk_recipes)
+    ops = (op1_token_counts, op2_ogg_media, op3_order_minhash, op4_token_files, op5_secrets, op6_packing, op7_sharding, op8_range_join, op9_toxicity, op10_piece_bpe, op11_chunk_recipes, op12_ball_negatives)
     return {f.__name__: f for f in ops}
 
 
@@ -112,5 +119,23 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM (
   WINDOW same AS (PARTITION BY t))"""
 
 
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), met AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS alike, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM met WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER best AS INT) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN met m ON m.anchor_id = p.anchor_id AND NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW best AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER best <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secrets": report_sql(train(labelled_samples())), "op8_range_join": RANGE_JOIN_SQL, "op11_chunk_recipes": DUPLICATES_SQL}
+    return {"op5_secrets": report_sql(train(labelled_samples())), "op8_range_join": RANGE_JOIN_SQL, "op11_chunk_recipes": DUPLICATES_SQL, "op12_ball_negatives": NEGATIVES_SQL}
