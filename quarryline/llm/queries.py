@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chunk_recipes import exact_duplicates
 from .common import table
 from .hard_negatives import hard_negatives
+from .lexical_search import ranked
 from .ogg import media_features, with_media
 from .order_minhash import near_duplicates
 from .packing import packed
@@ -89,8 +90,12 @@ def op12_ball_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors, F.col("id") % 100 == 0)
 
 
+def op13_cluster_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_token_counts, op2_ogg_media, op3_order_minhash, op4_token_files, op5_secrets, op6_packing, op7_sharding, op8_range_join, op9_toxicity, op10_piece_bpe, op11_chunk_recipes, op12_ball_negatives)
+    ops = (op1_token_counts, op2_ogg_media, op3_order_minhash, op4_token_files, op5_secrets, op6_packing, op7_sharding, op8_range_join, op9_toxicity, op10_piece_bpe, op11_chunk_recipes, op12_ball_negatives, op13_cluster_search)
     return {f.__name__: f for f in ops}
 
 
@@ -137,5 +142,19 @@ WINDOW best AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other
 QUALIFY row_number() OVER best <= 10"""
 
 
+_WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH_SQL = f"""
+WITH tokens AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS tokens FROM sizes),
+queries AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest({_WORDS.format('text')}) AS term FROM benchmark) GROUP BY ALL),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM tokens WHERE term IN (SELECT term FROM queries) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, totals GROUP BY term),
+impacts AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // tokens))) AS impact FROM postings JOIN weights USING (term) JOIN sizes USING (doc_id), totals),
+scores AS (SELECT item_id, doc_id, CAST(sum(repeats * impact) AS BIGINT) AS score FROM queries JOIN impacts USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER best AS INT) AS rank, doc_id, score FROM scores WHERE score > 0
+WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secrets": report_sql(train(labelled_samples())), "op8_range_join": RANGE_JOIN_SQL, "op11_chunk_recipes": DUPLICATES_SQL, "op12_ball_negatives": NEGATIVES_SQL}
+    return {"op5_secrets": report_sql(train(labelled_samples())), "op8_range_join": RANGE_JOIN_SQL, "op11_chunk_recipes": DUPLICATES_SQL, "op12_ball_negatives": NEGATIVES_SQL, "op13_cluster_search": SEARCH_SQL}
