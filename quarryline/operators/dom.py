@@ -2,14 +2,19 @@
 
 Trees are built as loosely as pages are written: void elements have no content, an end tag closes
 the nearest open element of its name or is ignored, and whatever is open at the end is closed.
+
+Plain markup is read by one regular expression; from the first place that it doesn't know, the
+standard tokenizer takes over. Selectors look elements up in a page's index by id, class and tag.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable, Iterator
-from html import escape
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from html import escape, unescape
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -17,12 +22,33 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 OPAQUE = frozenset(("script", "style", "template"))
 
 
+class Document(list):
+    """The elements of a page in order, with their places by tag, class and id; the index is made when it is first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.places: dict[tuple[str, str], list[int]] | None = None
+
+    def at(self, kind: str, value: str) -> Sequence[int]:
+        if self.places is None:
+            self.places = {}
+            for e in self:
+                keys = [("tag", e.name)]
+                if "class" in e.attrs:
+                    keys += [("class", c) for c in dict.fromkeys(e.classes)]
+                if "id" in e.attrs:
+                    keys.append(("id", e.attrs["id"]))
+                for key in keys:
+                    self.places.setdefault(key, []).append(e.at)
+        return self.places.get((kind, value), ())
+
+
 class Element:
     """One element. In a document's list of elements it is at `at`, its descendants up to `end`."""
 
     __slots__ = ("name", "attrs", "parent", "children", "document", "at", "end")
 
-    def __init__(self, name: str, attrs: dict[str, str], parent: Element | None, document: list[Element]):
+    def __init__(self, name: str, attrs: dict[str, str], parent: Element | None, document: Document):
         self.name, self.attrs, self.parent, self.document = name, attrs, parent, document
         self.children: list[Element | tuple[str, str]] = []
         self.at = self.end = len(document)
@@ -32,15 +58,6 @@ class Element:
     def classes(self) -> list[str]:
         return self.attrs.get("class", "").split()
 
-    def descendants(self) -> Iterator[Element]:
-        for i in range(self.at + 1, self.end + 1):
-            yield self.document[i]
-
-    def after(self) -> Iterator[Element]:
-        """All elements that begin after this one does, its own descendants first."""
-        for i in range(self.at + 1, len(self.document)):
-            yield self.document[i]
-
     def previous(self) -> Element | None:
         """The sibling element before this one."""
         if self.parent is None:
@@ -97,7 +114,7 @@ class Element:
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.document: list[Element] = []
+        self.document = Document()
         self.root = self.open = Element("", {}, None, self.document)
         self.depth: dict[str, int] = {}
 
@@ -142,14 +159,94 @@ class _Builder(HTMLParser):
             self.handle_data(data[6:])
 
 
-def parse(html: str) -> Element:
-    """The root of a page's tree; never raises for a string."""
-    builder = _Builder()
+#: What plain markup is made of: a text, an end tag, a start tag, a comment or a document type.
+_TOKEN = re.compile(
+    r"""(?P<text>[^<]+)|</(?P<end>[a-zA-Z][a-zA-Z0-9-]*)\s*>"""
+    r"""|<(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>(?:\s+[a-zA-Z_][\w:.-]*(?:="[^"&<>]*"|='[^'&<>]*')?)*)\s*(?P<empty>/?)>"""
+    r"""|<!--(?P<comment>[^<>-]+(?:-[^<>-]+)*)-->|(?P<type><!(?i:doctype)\s[^<>]*>)""",
+    re.ASCII,
+)
+_ATTRIBUTE = re.compile(r"""([a-zA-Z_][\w:.-]*)(?:="([^"]*)"|='([^']*)')?""", re.ASCII)
+#: Elements whose content is no markup, or isn't for some tokenizers.
+_RAW = re.compile("script|style|title|textarea|xmp|iframe|noembed|noframes|plaintext", re.I)
+
+
+@functools.cache
+def _content(tag: str) -> re.Pattern:
+    """Content that ends at the first end tag of `tag`, and holds nothing that tokenizers might take for another end."""
+    return re.compile(rf"((?:[^<]|<(?!!--|/\s*{tag}))*+)</{tag}\s*>", re.I)
+
+
+def _read_odd(builder: _Builder, html: str, at: int) -> int:
+    """One construct that isn't plain, by the standard tokenizer; returns where it ends, below 0 if it can't say."""
+    builder.rawdata = html
+    if html.startswith("<!--", at):
+        return builder.parse_comment(at)
+    if html.startswith("</", at):
+        return builder.parse_endtag(at)
+    if re.match("<[a-zA-Z]", html[at : at + 2]):
+        return -1 if _RAW.match(html, at + 1) else builder.parse_starttag(at)
+    if html[at + 1 : at + 2] in ("", "!", "?"):
+        return -1
+    builder.handle_data("<")
+    return at + 1
+
+
+def _read(builder: _Builder, html: str) -> int:
+    """Build from a page; returns the place from which the standard tokenizer must read on."""
+    at, n, token = 0, len(html), _TOKEN.match
+    while at < n:
+        m = token(html, at)
+        if m is None:
+            end = _read_odd(builder, html, at)
+            if end < 0:
+                return at
+            at = end
+            continue
+        kind, end = m.lastgroup, m.end()
+        if kind == "text":
+            text = m["text"]
+            builder.handle_data(unescape(text) if "&" in text else text)
+        elif kind == "end":
+            builder.handle_endtag(m["end"].lower())
+        elif kind == "comment":
+            builder.handle_comment(m["comment"])
+        elif kind == "empty":
+            tag = m["tag"].lower()
+            close = None
+            if _RAW.fullmatch(tag):
+                close = _content(tag).match(html, end)
+                if close is None or m["empty"] or (tag not in builder.CDATA_CONTENT_ELEMENTS and "<" in close[1]):
+                    return at
+            attrs = [(k.lower(), a or b) for k, a, b in _ATTRIBUTE.findall(m["attrs"])] if m["attrs"] else ()
+            if m["empty"]:
+                builder.handle_startendtag(tag, attrs)
+            else:
+                builder.handle_starttag(tag, attrs)
+            if close and tag in builder.CDATA_CONTENT_ELEMENTS:
+                if close[1]:
+                    builder.handle_data(close[1])
+                builder.handle_endtag(tag)
+                end = close.end()
+        at = end
+    return n
+
+
+def _by_tokenizer(builder: _Builder, html: str) -> None:
     try:
         builder.feed(html)
         builder.close()
     except (AssertionError, ValueError):  # declarations that the tokenizer gives up on; what came before stays
         pass
+
+
+def parse(html: str) -> Element:
+    """The root of a page's tree; never raises for a string."""
+    builder = _Builder()
+    at = _read(builder, html)
+    if at < len(html):
+        builder.rawdata = ""
+        _by_tokenizer(builder, html[at:])
     while builder.open is not builder.root:
         builder._shut()
     builder.root.end = len(builder.document) - 1
@@ -159,13 +256,25 @@ def parse(html: str) -> Element:
 _SIMPLE = re.compile(r"""\s*(?:(?P<tag>[a-zA-Z][\w-]*|\*)|\.(?P<cls>[^\s.#\[:]+)|\#(?P<id>[^\s.#\[:]+)|\[(?P<attr>[\w-]+)(?:(?P<op>\*?=)"(?P<value>[^"]*)")?\]|:has-string\("(?P<string>[^"]*)"\))""")
 
 
-def _compound(text: str) -> Callable[[Element], bool]:
+@dataclass(frozen=True)
+class Compound:
+    """Tests of one element, and what it can be looked up by: an id, a class or a tag, the rarest first."""
+
+    tests: tuple[Callable[[Element], bool], ...]
+    key: tuple[str, str] | None
+
+    def __call__(self, e: Element) -> bool:
+        return all(t(e) for t in self.tests)
+
+
+def _compound(text: str) -> Compound:
     """A test for `tag.class#id[attr][attr="whole"][attr*="part"]:has-string("part")`.
 
     A class equals the whole attribute where it is given as [class="..."]; [class*="..."] looks
     into each class and into the whole attribute, in any case.
     """
     tests: list[Callable[[Element], bool]] = []
+    keys: dict[str, tuple[str, str]] = {}
     at = 0
     while at < len(text):
         m = _SIMPLE.match(text, at)
@@ -173,32 +282,65 @@ def _compound(text: str) -> Callable[[Element], bool]:
             raise ValueError(f"selector {text!r}")
         at = m.end()
         if m["tag"]:
+            if m["tag"] != "*":
+                keys["tag"] = ("tag", m["tag"])
             tests.append(lambda e, v=m["tag"]: v in ("*", e.name))
         elif m["cls"]:
+            keys["class"] = ("class", m["cls"])
             tests.append(lambda e, v=m["cls"]: v in e.classes)
         elif m["id"]:
+            keys["id"] = ("id", m["id"])
             tests.append(lambda e, v=m["id"]: e.attrs.get("id") == v)
         elif m["string"] is not None:
             tests.append(lambda e, v=m["string"]: v in (e.only_string() or ""))
         elif m["op"] == "*=":
             tests.append(lambda e, a=m["attr"], v=m["value"].lower(): v in e.attrs.get(a, "").lower())
         elif m["op"]:
+            if m["attr"] == "class" and m["value"].split():
+                keys.setdefault("class", ("class", m["value"].split()[-1]))
             tests.append(lambda e, a=m["attr"], v=m["value"]: (" ".join(e.classes) if a == "class" else e.attrs.get(a)) == v)
         else:
             tests.append(lambda e, a=m["attr"]: a in e.attrs)
-    return lambda e: all(t(e) for t in tests)
+    if not tests:
+        raise ValueError("an empty selector")
+    return Compound(tuple(tests), keys.get("id") or keys.get("class") or keys.get("tag"))
 
 
 @functools.lru_cache(maxsize=512)
-def _path(css: str) -> list[Callable[[Element], bool]]:
+def _path(css: str) -> list[Compound]:
     parts = re.findall(r'(?:"[^"]*"|[^\s"])+', css)
     return [_compound(p) for p in parts]
 
 
+def check_selector(selector: str) -> None:
+    """Raise ValueError for a selector that find() can't run."""
+    css, *axes = selector.split(" >> ")
+    if not _path(css):
+        raise ValueError(f"selector {selector!r}")
+    for axis in axes:
+        kind, _, test = axis.partition(" ")
+        length = len(_path(test)) if test else 0
+        if kind not in ("parent", "previous", "next", "in") or (kind in ("parent", "previous")) != (length == 0) or (kind == "next" and length != 1):
+            raise ValueError(f"axis {axis!r} of {selector!r}")
+
+
+def _candidates(root: Element, test: Compound, begin: int, end: int) -> Iterator[Element]:
+    """Elements at begin to end that may match, in document order."""
+    document = root.document
+    if test.key is None:
+        yield from (document[i] for i in range(begin, end + 1))
+        return
+    places = document.at(*test.key)
+    for k in range(bisect_left(places, begin), len(places)):
+        if places[k] > end:
+            return
+        yield document[places[k]]
+
+
 def select(root: Element, css: str) -> Iterator[Element]:
     """Descendants that match a chain of compounds, in document order."""
     *outer, last = _path(css)
-    for e in root.descendants():
+    for e in _candidates(root, last, root.at + 1, root.end):
         if last(e):
             node, need = e.parent, len(outer)
             while node is not None and need:
@@ -222,7 +364,7 @@ def find(root: Element, selector: str) -> Element | None:
             node = node.previous()
         elif kind == "next":
             (fits,) = _path(test)
-            node = next((e for e in node.after() if fits(e)), None)
+            node = next((e for e in _candidates(node, fits, node.at + 1, len(node.document) - 1) if fits(e)), None)
         elif kind == "in":
             node = next(select(node, test), None)
         else:
