@@ -31,6 +31,16 @@ def parse_price(text: Column, currency: tuple[str, ...] = CURRENCY) -> Column:
     return F.coalesce(F.replace(_first(text, r"[\p{Nd},]+\.?\p{Nd}*"), F.lit(","), F.lit("")).try_cast("double"), F.lit(0.0))
 
 
+def price(text: Column) -> Column:
+    """As parse_price, but null for null."""
+    return F.when(text.isNotNull(), parse_price(text))
+
+
+def first_price(text: Column) -> Column:
+    """The first number with thousands separators; null where the text has no digit."""
+    return F.when(text.rlike(r"\p{Nd}"), parse_price(text))
+
+
 def first_int(text: Column) -> Column:
     """The first run of digits; null where there is none."""
     return _first(text, r"\p{Nd}+").try_cast("int")

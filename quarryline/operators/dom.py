@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import re
 from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from html import escape, unescape
@@ -27,20 +28,21 @@ class Document(list):
 
     def __init__(self):
         super().__init__()
-        self.places: dict[tuple[str, str], list[int]] | None = None
+        self.places: dict[str, dict[str, list[int]]] | None = None
 
     def at(self, kind: str, value: str) -> Sequence[int]:
         if self.places is None:
-            self.places = {}
-            for e in self:
-                keys = [("tag", e.name)]
-                if "class" in e.attrs:
-                    keys += [("class", c) for c in dict.fromkeys(e.classes)]
-                if "id" in e.attrs:
-                    keys.append(("id", e.attrs["id"]))
-                for key in keys:
-                    self.places.setdefault(key, []).append(e.at)
-        return self.places.get((kind, value), ())
+            tags, classes, ids = (defaultdict(list) for _ in range(3))
+            for at, e in enumerate(self):
+                tags[e.name].append(at)
+                if e.attrs:
+                    if "class" in e.attrs:
+                        for c in set(e.attrs["class"].split()):
+                            classes[c].append(at)
+                    if "id" in e.attrs:
+                        ids[e.attrs["id"]].append(at)
+            self.places = {"tag": tags, "class": classes, "id": ids}
+        return self.places[kind].get(value, ())
 
 
 class Element:
@@ -118,38 +120,43 @@ class _Builder(HTMLParser):
         self.root = self.open = Element("", {}, None, self.document)
         self.depth: dict[str, int] = {}
 
-    def handle_starttag(self, tag, attrs):
-        own: dict[str, str] = {}
-        for k, v in attrs:
-            own[k] = v or ""
-        child = Element(tag, own, self.open, self.document)
+    def add(self, tag: str, attrs: dict[str, str]) -> None:
+        child = Element(tag, attrs, self.open, self.document)
         self.open.children.append(child)
         if tag not in VOID:
             self.open = child
             self.depth[tag] = self.depth.get(tag, 0) + 1
 
+    def handle_starttag(self, tag, attrs):
+        self.add(tag, {k: v or "" for k, v in attrs})
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def _shut(self):
-        self.open.end = len(self.document) - 1
-        self.depth[self.open.name] -= 1
-        self.open = self.open.parent
+    def shut(self) -> Element:
+        """Close what is open; returns the root."""
+        while self.open is not self.root:
+            self.handle_endtag(self.open.name)
+        self.root.end = len(self.document) - 1
+        return self.root
 
     def handle_endtag(self, tag):
         if self.depth.get(tag):
-            while self.open.name != tag:
-                self._shut()
-            self._shut()
+            end, depth, node, name = len(self.document) - 1, self.depth, self.open, None
+            while name != tag:
+                node.end, name = end, node.name
+                depth[name] -= 1
+                node = node.parent
+            self.open = node
 
     def handle_data(self, data):
-        last = self.open.children[-1] if self.open.children else None
-        if isinstance(last, tuple) and last[0] == "text":
-            self.open.children[-1] = ("text", last[1] + data)
+        children = self.open.children
+        if children and type(last := children[-1]) is tuple and last[0] == "text":
+            children[-1] = ("text", last[1] + data)
         else:
-            self.open.children.append(("text", data))
+            children.append(("text", data))
 
     def handle_comment(self, data):
         self.open.children.append(("comment", data))
@@ -212,17 +219,16 @@ def _read(builder: _Builder, html: str) -> int:
         elif kind == "comment":
             builder.handle_comment(m["comment"])
         elif kind == "empty":
-            tag = m["tag"].lower()
+            _, _, tag, attrs, empty, *_ = m.groups()
+            tag = tag.lower()
             close = None
-            if _RAW.fullmatch(tag):
+            if tag[0] in "stxinp" and _RAW.fullmatch(tag):
                 close = _content(tag).match(html, end)
-                if close is None or m["empty"] or (tag not in builder.CDATA_CONTENT_ELEMENTS and "<" in close[1]):
+                if close is None or empty or (tag not in builder.CDATA_CONTENT_ELEMENTS and "<" in close[1]):
                     return at
-            attrs = [(k.lower(), a or b) for k, a, b in _ATTRIBUTE.findall(m["attrs"])] if m["attrs"] else ()
-            if m["empty"]:
-                builder.handle_startendtag(tag, attrs)
-            else:
-                builder.handle_starttag(tag, attrs)
+            builder.add(tag, {k.lower(): a or b for k, a, b in _ATTRIBUTE.findall(attrs)} if attrs else {})
+            if empty and tag not in VOID:
+                builder.handle_endtag(tag)
             if close and tag in builder.CDATA_CONTENT_ELEMENTS:
                 if close[1]:
                     builder.handle_data(close[1])
@@ -247,10 +253,7 @@ def parse(html: str) -> Element:
     if at < len(html):
         builder.rawdata = ""
         _by_tokenizer(builder, html[at:])
-    while builder.open is not builder.root:
-        builder._shut()
-    builder.root.end = len(builder.document) - 1
-    return builder.root
+    return builder.shut()
 
 
 _SIMPLE = re.compile(r"""\s*(?:(?P<tag>[a-zA-Z][\w-]*|\*)|\.(?P<cls>[^\s.#\[:]+)|\#(?P<id>[^\s.#\[:]+)|\[(?P<attr>[\w-]+)(?:(?P<op>\*?=)"(?P<value>[^"]*)")?\]|:has-string\("(?P<string>[^"]*)"\))""")

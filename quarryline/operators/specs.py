@@ -1,6 +1,6 @@
 """Spec rows to fields: which field a row speaks of, by substrings of its key; the last row of a field wins.
 
-All of it is on arrays, so it needs no shuffle.
+All of it is on arrays, so it needs no shuffle. A variant's rows are folded into its fields in one pass.
 """
 
 from __future__ import annotations
@@ -13,32 +13,37 @@ CHAIN_R = (("isbn", ("isbn",)), ("author", ("author", "লেখক")), ("publis
 CHAIN_P = (("isbn", ("isbn",)), ("publisher", ("publisher", "প্রকাশক")), ("title", ("title",)), ("edition", ("edition", "সংস্করণ")), ("pages", ("number of pages", "পৃষ্ঠা")), ("language", ("language", "ভাষা")), ("country", ("country", "দেশ")))
 #: Independent tests on keys as written; rows of exactly two cells.
 TESTS_K = {"author": "Author", "pages": "Number of Pages", "published": "Last Edition"}
-
-
-def classify(key: Column, chain: tuple = CHAIN_R) -> Column:
-    """The field that a lower-case key speaks of, or null."""
-    out = F
-    for name, parts in chain:
-        test = key.contains(parts[0])
-        for p in parts[1:]:
-            test = test | key.contains(p)
-        out = out.when(test, F.lit(name))
-    return out
-
-
-def speaks_of(row: Column, field: str, variant: str) -> Column:
-    """Whether a spec row sets a field, under a site's variant of the rules."""
-    key = F.lower(row["key"])
-    if variant == "R":
-        test = key.contains("title") if field == "title" else F.coalesce(classify(key, CHAIN_R) == field, F.lit(False))
-        return (row["n_td"] >= 2) & test
-    if variant == "P":
-        return (row["n_td"] >= 2) & F.coalesce(classify(key, CHAIN_P) == field, F.lit(False))
-    test = key.contains("isbn") if field == "isbn" else row["key"].contains(TESTS_K[field]) if field in TESTS_K else F.lit(False)
-    return (row["n_td"] == 2) & test
-
-
-def last_value(rows: Column, field: str, variant: str) -> Column:
-    """The value of the last row that sets a field, null if none does."""
-    hits = F.filter(rows, lambda r: speaks_of(r, field, variant))
-    return F.get(hits, F.size(hits) - 1)["vlast" if variant == "P" else "v1"]
+VARIANTS = ("R", "P", "K")
+FIELDS = ("title", "isbn", "author", "publisher", "pages", "edition", "language", "country", "weight", "published")
+
+
+def _classify_sql(key: str, chain: tuple) -> str:
+    tests = (" OR ".join(f"contains({key}, '{p}')" for p in parts) + f" THEN '{name}'" for name, parts in chain)
+    return "CASE WHEN " + " WHEN ".join(tests) + " END"
+
+
+def classify(key: str, chain: tuple = CHAIN_R) -> Column:
+    """The field that a lower-case key (SQL) speaks of, or null."""
+    return F.expr(_classify_sql(key, chain))
+
+
+def fields_of(rows: str, variant: str) -> Column:
+    """A struct with the value of each of FIELDS from a column of spec rows: that of the last row that sets it, null if none does.
+
+    Each row is classified once, and one fold keeps the last values; variant R takes a title from
+    any row whose key speaks of one, beside what else the key speaks of, and K tests keys one by one.
+    """
+    if variant == "K":
+        fits = {"isbn": "contains(lower(r.key), 'isbn')"} | {f: f"contains(r.key, '{part}')" for f, part in TESTS_K.items()}
+        cells, value = "r.n_td = 2", "r.v1"
+        row = ", ".join(f"'{f}', {test}" for f, test in fits.items())
+        sets = {f: f"r.{f}" for f in fits}
+    else:
+        chain = CHAIN_R if variant == "R" else CHAIN_P
+        row = f"'field', {_classify_sql('lower(r.key)', chain)}, 'title', contains(lower(r.key), 'title')"
+        sets = {f: f"r.field = '{f}'" for f, _ in chain} | ({"title": "r.title"} if variant == "R" else {})
+        cells, value = "r.n_td >= 2", "r.vlast" if variant == "P" else "r.v1"
+    marked = f"transform(filter({rows}, r -> {cells}), r -> named_struct({row}, 'value', {value}))"
+    none = ", ".join(f"'{f}', cast(null AS string)" for f in FIELDS)
+    fold = ", ".join(f"'{f}', CASE WHEN {sets[f]} THEN r.value ELSE last.{f} END" if f in sets else f"'{f}', last.{f}" for f in FIELDS)
+    return F.expr(f"aggregate({marked}, named_struct({none}), (last, r) -> named_struct({fold}))")

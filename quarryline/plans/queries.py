@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import catalog, dispatch, specs
-from ..operators.extract import body_text, extract, merge_previous, spec_rows, stripped_text
+from ..operators.extract import body_text, extract, first_text, merge_previous, spec_rows, stripped_text
 from .sites import SITES
 
 #: The driver's pages are of these labels; none of the real sites occurs.
@@ -68,6 +68,17 @@ def page_title(spark, sf):
     return page_titles(_t(spark, sf, "pages"))
 
 
+_HEADING = "regexp_extract(html, '(?is)<h1[^>]*>([^<]*)</h1>', 1)"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+    _HEADING = f"replace({_HEADING}, '{_entity}', '{_char}')"
+
+
+@query(f"SELECT page_id, trim({_HEADING}, chr(32) || chr(9) || chr(10) || chr(13)) AS heading FROM pages")
+def page_heading(spark, sf):
+    """A page's first heading as its tree has it, with references decoded."""
+    return _spread(_t(spark, sf, "pages")).select("page_id", first_text("h1")("html").alias("heading"))
+
+
 _PRICE = "coalesce(TRY_CAST(replace(regexp_extract(replace(replace({0}, '৳', ''), 'Tk', ''), '[0-9,]+\\.?[0-9]*'), ',', '') AS DOUBLE), 0.0)"
 _DIGITS = "translate({0}, '০১২৩৪৫৬৭৮৯', '0123456789')"
 
@@ -106,8 +117,8 @@ _FIELD = "CASE WHEN k LIKE '%isbn%' THEN 'isbn' WHEN k LIKE '%author%' OR k LIKE
 
 @query(f"SELECT field, is_title, count(*) AS n FROM (SELECT {_FIELD} AS field, k LIKE '%title%' AS is_title FROM (SELECT lower({_KEYS}) AS k FROM lineitem)) GROUP BY ALL")
 def spec_classify(spark, sf):
-    key = F.lower(F.expr(_KEYS))
-    return _t(spark, sf, "lineitem").select(specs.classify(key).alias("field"), key.contains("title").alias("is_title")).groupBy("field", "is_title").agg(F.count("*").alias("n"))
+    keys = _t(spark, sf, "lineitem").select(F.lower(F.expr(_KEYS)).alias("key"))
+    return keys.select(specs.classify("key").alias("field"), F.col("key").contains("title").alias("is_title")).groupBy("field", "is_title").agg(F.count("*").alias("n"))
 
 
 _LAST = "SELECT l_orderkey, max_by(CAST(l_quantity AS VARCHAR), (l_linenumber, l_partkey, l_suppkey, l_quantity)) FILTER (WHERE k LIKE '%isbn%') AS isbn, max_by(CAST(l_quantity AS VARCHAR), (l_linenumber, l_partkey, l_suppkey, l_quantity)) FILTER (WHERE k LIKE '%title%') AS title FROM (SELECT *, CASE l_linenumber % 2 WHEN 0 THEN 'isbn' ELSE 'book title' END AS k FROM lineitem) GROUP BY l_orderkey"
@@ -117,8 +128,8 @@ _LAST = "SELECT l_orderkey, max_by(CAST(l_quantity AS VARCHAR), (l_linenumber, l
 def spec_last_wins(spark, sf):
     row = F.struct(F.lit(2).alias("n_td"), F.expr("CASE l_linenumber % 2 WHEN 0 THEN 'isbn' ELSE 'book title' END").alias("key"), F.col("l_quantity").cast("string").alias("v1"), F.col("l_quantity").cast("string").alias("vlast"))
     rows = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", row.alias("row")))).alias("rows"))
-    spec = F.transform("rows", lambda r: r["row"])
-    return rows.select("l_orderkey", specs.last_value(spec, "isbn", "R").alias("isbn"), specs.last_value(spec, "title", "R").alias("title"))
+    fields = rows.select("l_orderkey", F.transform("rows", lambda r: r["row"]).alias("spec_rows")).withColumn("spec", specs.fields_of("spec_rows", "R"))
+    return fields.select("l_orderkey", "spec.isbn", "spec.title")
 
 
 @query("SELECT page_id, replace(nullif(regexp_extract(url, '[?&]ref=([^&#]+)', 1), ''), '+', ' ') AS ref, nullif(regexp_extract(url, '[?&]page=([^&#]+)', 1), '') AS page FROM pages")

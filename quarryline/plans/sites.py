@@ -1,47 +1,23 @@
-"""Site profiles as data: for each field the selectors in order of preference, how the matched
-element is read, which scalar rule types it, and what stands in where nothing matched."""
+"""The registered site profiles. Register another with SITES.register, or hand profiles to extract."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import replace
 
-
-@dataclass(frozen=True)
-class Rule:
-    """One field of a site. `required` rules add to a page's errors when nothing matches."""
-
-    selectors: tuple[str, ...]
-    read: str = "strip"
-    scalar: str = "text"
-    default: object = None
-    required: bool = False
-
-
-@dataclass(frozen=True)
-class Site:
-    """A profile. `guard` must occur in the URL. Spec rows are classified by `variant`."""
-
-    label: str
-    fields: dict[str, Rule]
-    variant: str | None = None
-    spec_rows: str = "table tr"
-    guard: str = ""
-    spec_fields: tuple[str, ...] = field(default=())
-
-
-#: Spec fields that a site takes over, with the column they go to.
-SPEC_COLUMNS = {"title": "product_name", "isbn": "isbn", "author": "authors", "publisher": "publishers", "pages": "pages", "edition": "editions", "language": "language", "country": "country", "weight": "weight", "published": "publication_date"}
+from ..operators.profiles import Registry, Rule, Site
 
 _STOCK = Rule(("span#available-quantity",), "strip", "first_int", 0)
 _STOCK_WHOLE = Rule(("span#available-quantity",), "strip", "whole_int")
 _BOOK_SPECS = ("title", "isbn", "author", "publisher", "pages", "edition", "language", "country", "weight")
 _DEVICE_SPECS = ("isbn", "author", "publisher", "pages", "edition", "language", "country", "weight")
+_PRESS_SPECS = ("title", "isbn", "publisher", "edition", "language", "country")
+#: Never found on these sites.
+_PRESS = {"authors": "", "weight": 0.0}
 _SUMMARY = Rule(('h5:has-string("বই সংক্ষেপ") >> parent >> next p',), "space", "text", "")
 _COVER = Rule(("div.grid img",), "src", "image_query")
 
-SITES = {
-    s.label: s
-    for s in (
+SITES = Registry(
+    (
         Site(
             "rokomari",
             {
@@ -55,15 +31,15 @@ SITES = {
             guard="rokomari.com",
             spec_fields=_BOOK_SPECS,
         ),
-        Site("pbs", {"ecommerce_description": _SUMMARY, "image_url": _COVER}, "P", guard="pbs.com", spec_fields=("title", "isbn", "publisher", "edition", "language", "country")),
-        Site("guardianpubs", {"ecommerce_description": _SUMMARY, "description_block": Rule(("div.description",), "strip"), "image_url": _COVER}, "P", guard="guardianpubs.com", spec_fields=("title", "isbn", "publisher", "edition", "language", "country")),
+        Site("pbs", {"ecommerce_description": _SUMMARY, "image_url": _COVER}, "P", guard="pbs.com", spec_fields=_PRESS_SPECS, constants=_PRESS),
+        Site("guardianpubs", {"ecommerce_description": replace(_SUMMARY, lenient=Rule(("div.description",))), "image_url": _COVER}, "P", guard="guardianpubs.com", spec_fields=_PRESS_SPECS, constants=_PRESS),
         Site(
             "khoshrozltd",
             {
                 "stock_qty": _STOCK_WHOLE,
                 "product_name": Rule(('h1[class="mb-2 fs-20 fw-600"]',)),
                 "face_value": Rule(('div[class="fs-16 opacity-60"]',), "strip", "digits_and_dots"),
-                "price": Rule(('strong[class="h4 fw-700 text-primary"]',), "strip", "price_or_face"),
+                "price": Rule(('strong[class="h4 fw-700 text-primary"]',), "strip", "first_price", strict="first_decimal", otherwise=("face_value", "digits_and_dots")),
                 "ecommerce_description": Rule(('div[class="mw-100 text-left"]',), "inner"),
                 "image_url": Rule(('img[role="presentation"]',), "src"),
             },
@@ -109,4 +85,4 @@ SITES = {
             spec_fields=_DEVICE_SPECS,
         ),
     )
-}
+)

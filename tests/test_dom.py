@@ -58,10 +58,7 @@ def by_tokenizer(html):
     """The tree that the standard tokenizer alone makes."""
     builder = dom._Builder()
     dom._by_tokenizer(builder, html)
-    while builder.open is not builder.root:
-        builder._shut()
-    builder.root.end = len(builder.document) - 1
-    return builder.root
+    return builder.shut()
 
 
 def shape(root):
