@@ -10,7 +10,7 @@ from ..operators.catalog import catalog_remote
 from ..operators.dispatch import supported
 from ..operators.extract import extract
 from ..sources.pages import fetch_images, fetch_pages
-from ..sources.sinks import push_remote
+from ..sources.remote import push_remote
 from .sites import SITES
 
 
@@ -21,5 +21,5 @@ def fetch_products(urls: DataFrame, sites: Iterable[str] | None = None, strict:
 
 
 def create_remote(records: DataFrame, url: str, database: str, user: str, secret: Callable[[], str], backoff_s: float = 1.0) -> DataFrame:
-    """Create a remote product for each record, with its image where that can be had; returns page_id, remote_id, error."""
-    return push_remote(catalog_remote(records, fetch_images(records, backoff_s=backoff_s)), url, database, user, secret)
+    """Create a remote product for each record, with its image where that can be had; returns page_id, remote_id, error. Runs at once."""
+    return push_remote(catalog_remote(records, fetch_images(records, backoff_s=backoff_s)), url, database, user, secret, backoff_s=backoff_s)

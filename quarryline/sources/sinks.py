@@ -1,57 +1,17 @@
-"""Where catalog rows go: tables, or a remote catalog by XML-RPC."""
+"""Where catalog rows go: tables here, links in links.py, a remote catalog in remote.py."""
 
 from __future__ import annotations
 
-import xmlrpc.client
-from collections.abc import Callable, Iterator
-
 from pyspark.sql import DataFrame
 
+from .links import LinkTable
+
 
 def append_catalog(rows: DataFrame, path: str) -> None:
     """Append rows to a catalog; nothing is merged or dropped."""
     rows.write.mode("append").parquet(path)
 
 
-def replace_links(links: DataFrame, path: str) -> None:
-    """Write links anew: the given sets take the place of all that were there."""
-    links.write.mode("overwrite").parquet(path)
-
-
-def _server(url: str, path: str):
-    return xmlrpc.client.ServerProxy(f"{url}/xmlrpc/2/{path}", allow_none=True)
-
-
-def push_remote(rows: DataFrame, url: str, database: str, user: str, secret: Callable[[], str], key: str = "page_id") -> DataFrame:
-    """Create a remote product for each row; returns key, remote_id, error.
-
-    The secret is got in the task and is no column. A task that is tried again would create
-    products twice, so a row's key goes along as its default_code and is looked up before.
-    """
-    columns = [c for c in rows.columns if c != key]
-
-    def push(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        uid = word = models = fault = None
-        try:
-            word = secret()
-            uid = _server(url, "common").authenticate(database, user, word, {})
-            models = _server(url, "object")
-        except (OSError, xmlrpc.client.Error) as e:
-            fault = str(e)
-        for batch in batches:
-            out = []
-            for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
-                code = f"page-{row[key]}"
-                remote, error = None, fault or (None if uid else "authentication failed")
-                if not error:
-                    try:
-                        there = models.execute_kw(database, uid, word, "product.template", "search", [[["default_code", "=", code]]])
-                        remote = there[0] if there else models.execute_kw(database, uid, word, "product.template", "create", [{c: row[c] for c in columns if row[c] is not None} | {"default_code": code}])
-                    except (OSError, xmlrpc.client.Error) as e:
-                        error = str(e)
-                out.append((row[key], remote, error))
-            yield pd.DataFrame(out, columns=[key, "remote_id", "error"])
-
-    return rows.mapInPandas(push, f"{key} long, remote_id long, error string")
+def replace_links(links: DataFrame, path: str, key: str = "wizard_id") -> int:
+    """Replace the sets (ids) of the records given; those of other records stay. See links.LinkTable."""
+    return LinkTable(links.sparkSession, path, key).replace(links)

@@ -1,15 +1,14 @@
 import http.server
 import threading
-import xmlrpc.server
 
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.plans.jobs import create_remote, fetch_products
+from quarryline.plans.jobs import fetch_products
 from quarryline.plans.queries import generated_pages
 from quarryline.schemas import PAGES
 from quarryline.sources.pages import HttpPages, Session, fetch_images, fetch_pages, read_images, read_pages
-from quarryline.sources.sinks import append_catalog, push_remote, replace_links
+from quarryline.sources.sinks import append_catalog
 from quarryline.streaming.ingest import page_stream, run_ingest
 
 
@@ -80,12 +79,6 @@ def test_images(spark, server, tmp_path):
     assert [bytes(r["content"]) for r in read_images(spark, str(tmp_path)).collect()] == [b"abc"]
 
 
-def test_links_are_replaced(spark, tmp_path):
-    for ids in ([1, 2], [3]):
-        replace_links(spark.createDataFrame([(7, ids)], "wizard_id long, ids array<long>"), str(tmp_path / "l"))
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "l")).collect()] == [(7, [3])]
-
-
 def test_unknown_sites_are_not_fetched(spark, server):
     Handler.seen.clear()
     urls = spark.createDataFrame([(1, f"{server}/ok")], "page_id long, url string")
@@ -103,33 +96,6 @@ def test_append(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "c")).count() == 6
 
 
-def test_remote(spark, server):
-    made, sent = {}, []
-
-    def execute_kw(db, uid, word, model, method, args):
-        if method == "search":
-            return [made[args[0][0][2]]] if args[0][0][2] in made else []
-        made[args[0]["default_code"]] = len(made) + 1
-        sent.append(args[0])
-        return len(made)
-
-    s = xmlrpc.server.SimpleXMLRPCServer(("127.0.0.1", 0), logRequests=False, allow_none=True)
-    s.register_function(execute_kw)
-    s.register_function(lambda db, user, word, _: 7 if word == "w" else False, "authenticate")
-    s.RequestHandlerClass.rpc_paths = ("/xmlrpc/2/common", "/xmlrpc/2/object")
-    threading.Thread(target=s.serve_forever, daemon=True).start()
-    rows = spark.createDataFrame([(1, "a", 1.0), (2, "b", None)], "page_id long, name string, list_price double").coalesce(1)
-    url = f"http://127.0.0.1:{s.server_address[1]}"
-    for _ in range(2):  # a second run finds what the first made
-        assert sorted((r["page_id"], r["remote_id"]) for r in push_remote(rows, url, "d", "u", lambda: "w").collect()) == [(1, 1), (2, 2)]
-    records = spark.createDataFrame([(9, "n", 1.5, 2.0, "d", f"{server}/image"), (10, "m", 1.5, 2.0, "d", None)], "page_id long, product_name string, price double, face_value double, ecommerce_description string, image_url string")
-    assert {r["page_id"] for r in create_remote(records, url, "d", "u", lambda: "w", 0.01).collect() if r["remote_id"]} == {9, 10}
-    by_name = {x["name"]: x for x in sent}
-    assert by_name["n"]["image_1920"] == "iVBORw==" and by_name["n"]["standard_price"] == 1.5 and "image_1920" not in by_name["m"]
-    assert {r["error"] for r in push_remote(rows, url, "d", "u", lambda: "x").collect()} == {"authentication failed"}
-    s.shutdown()
-
-
 def test_stream(spark, sf, tmp_path):
     pages = generated_pages(spark, sf, "sottayon").selectExpr("page_id", "url", "html", "cast(null as string) html_specs")
     pages.write.parquet(str(tmp_path / "in"))
