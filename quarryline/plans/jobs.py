@@ -14,10 +14,10 @@ from ..sources.remote import push_remote
 from .sites import SITES
 
 
-def fetch_products(urls: DataFrame, sites: Iterable[str] | None = None, strict: bool = False, backoff_s: float = 1.0, warm_up: bool = True) -> DataFrame:
-    """Product records of a table of page_id and url. Addresses of unknown sites aren't fetched; see dispatch.rejected."""
+def fetch_products(urls: DataFrame, sites: Iterable[str] | None = None, strict: bool = False, backoff_s: float = 1.0, warm_up: bool = True, **fetching) -> DataFrame:
+    """Product records of a table of page_id and url; `fetching` goes to fetch_pages. Addresses of unknown sites aren't fetched; see dispatch.rejected."""
     chosen = SITES.chosen(sites)
-    return extract(fetch_pages(supported(urls.select("page_id", "url"), [s.label for s in chosen]), backoff_s, warm_up), chosen, strict)
+    return extract(fetch_pages(supported(urls.select("page_id", "url"), [s.label for s in chosen]), backoff_s, warm_up, **fetching), chosen, strict)
 
 
 def create_remote(records: DataFrame, url: str, database: str, user: str, secret: Callable[[], str], backoff_s: float = 1.0) -> DataFrame:

@@ -8,7 +8,7 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +17,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..schemas import PAGES
+from .crawl import AHEAD, IN_FLIGHT, MAX_BYTES, SLICE_BYTES, Answer, crawl, slices
+from .encoding import decoded
 
+#: Tasks that fetch from one host, at most.
+HOST_TASKS = 16
 #: Statuses worth another try, tries, seconds that a host's first page and a page may take, and a browser's headers.
 RETRY_STATUS, TRIES, WARM_UP_S, TIMEOUT_S = (429, 500, 502, 503, 504), 3, 10, 15
 HEADERS = {
@@ -41,10 +45,11 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 class Session:
     """One browser-like session: cookies are kept, and each host's home page is asked for once before its other pages."""
 
-    def __init__(self, backoff_s: float = 1.0, warm_up: bool = True):
-        self.opener = urllib.request.build_opener(urllib.request.HTTPCookieProcessor(http.cookiejar.CookieJar()))
+    def __init__(self, backoff_s: float = 1.0, warm_up: bool = True, max_bytes: int = MAX_BYTES, proxy: str | None = None):
+        by_proxy = [urllib.request.ProxyHandler({"http": proxy, "https": proxy})] if proxy else []
+        self.opener = urllib.request.build_opener(urllib.request.HTTPCookieProcessor(http.cookiejar.CookieJar()), *by_proxy)
         self.opener.addheaders = list(HEADERS.items())
-        self.backoff, self.warm_up, self.known = backoff_s, warm_up, set()
+        self.backoff, self.warm_up, self.max_bytes, self.known = backoff_s, warm_up, max_bytes, set()
 
     def _warm(self, url: str) -> None:
         parts = urllib.parse.urlsplit(url)
@@ -56,67 +61,88 @@ class Session:
             except (OSError, ValueError, http.client.HTTPException):
                 pass
 
-    def get(self, url: str | None) -> tuple[int | None, bytes | None, str | None, str | None]:
-        """status, body, charset, error of one GET with retries; never raises."""
-        status, error = None, "no address"
+    def get(self, url: str | None) -> Answer:
+        """One GET with retries; never raises. A body of more than max_bytes is an error."""
         if not url:
-            return None, None, None, error
+            return Answer(error="no address")
         try:
             self._warm(url)
         except ValueError as e:
-            return None, None, None, str(e)
+            return Answer(error=str(e))
+        status, error = None, None
         for attempt in range(TRIES + 1):
+            if attempt:
+                time.sleep(self.backoff * 2 ** (attempt - 1))
             try:
                 with self.opener.open(url, timeout=TIMEOUT_S) as r:
-                    return r.status, r.read(), r.headers.get_content_charset(), None
+                    body = r.read(self.max_bytes + 1)
+                    if len(body) > self.max_bytes:
+                        return Answer(r.status, error=f"more than {self.max_bytes} bytes")
+                    return Answer(r.status, body, r.headers.get_content_charset())
             except urllib.error.HTTPError as e:
                 status, error = e.code, str(e)
                 if e.code not in RETRY_STATUS:
                     break
             except (OSError, ValueError, http.client.HTTPException) as e:
                 status, error = None, str(e)
-            if attempt < TRIES:
-                time.sleep(self.backoff * 2**attempt)
-        return status, None, None, error
+        return Answer(status, error=error)
 
     def page(self, url: str | None) -> str | None:
-        """A page's text in its own charset (UTF-8 where it names none that is known), null where the fetch failed."""
-        _, body, charset, _ = self.get(url)
-        if body is None:
-            return None
-        try:
-            return body.decode(charset or "utf-8", "replace")
-        except LookupError:
-            return body.decode("utf-8", "replace")
+        """A page's text, null where the fetch failed; see encoding.decoded."""
+        answer = self.get(url)
+        return None if answer.body is None else decoded(answer.body, answer.charset)
+
+
+def placed(addresses: DataFrame, url: str = "url", partitions: int | None = None) -> DataFrame:
+    """Addresses dealt to a fixed number of tasks: those of a host to a few, those of many hosts to all, in no order of hosts.
+
+    A number that is given stays: adaptive execution would merge the few bytes of many addresses into
+    one task, and it is the waiting that takes time.
+    """
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    spread = F.pmod(F.xxhash64(url), F.lit(HOST_TASKS))
+    return addresses.repartition(partitions or 4 * addresses.sparkSession.sparkContext.defaultParallelism, host, spread).sortWithinPartitions(F.xxhash64(url))
 
 
-def fetch_pages(urls: DataFrame, backoff_s: float = 1.0, warm_up: bool = True) -> DataFrame:
-    """PAGES for a table of page_id and url: one session a task, pages of a host in the same tasks; html is null where a fetch failed."""
+def _fetched(addresses: DataFrame, columns: dict[str, pa.DataType], schema, make: Callable[[list], list[pa.Array]], session: Callable[[], Session], in_flight: int, slice_bytes: int) -> DataFrame:
+    """addresses (key, url) with what was made of each slice of answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session = Session(backoff_s, warm_up)
-        for batch in batches:
-            html = pa.array([session.page(u) for u in batch.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), html, pa.nulls(len(html), pa.string())], names=["page_id", "url", "html", "html_specs"])
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for part in slices(crawl(rows, lambda: session().get, in_flight, AHEAD), slice_bytes):
+            made = make(part)
+            del part
+            yield pa.RecordBatch.from_arrays([a.cast(k) for a, k in zip(made, columns.values(), strict=True)], names=list(columns))
 
-    host = F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    rows = urls.select(F.col("page_id").cast("long"), "url").withColumn("host", host)
-    # A host's pages stay together so that it is warmed up seldom, in at most 16 tasks.
-    spread = rows.repartition("host", F.pmod(F.xxhash64("page_id"), F.lit(16)))
-    return spread.select("page_id", "url").mapInArrow(run, PAGES)
+    return addresses.mapInArrow(run, schema)
 
 
-def fetch_images(records: DataFrame, key: str = "page_id", url: str = "image_url", backoff_s: float = 1.0) -> DataFrame:
-    """key and content (binary) of the images that records name; content is null for any status but 200."""
+def fetch_pages(urls: DataFrame, backoff_s: float = 1.0, warm_up: bool = True, partitions: int | None = None, in_flight: int = IN_FLIGHT, max_bytes: int = MAX_BYTES, slice_bytes: int = SLICE_BYTES, proxy: str | None = None) -> DataFrame:
+    """PAGES for a table of page_id and url; html is null where a fetch failed or a page has more than max_bytes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session = Session(backoff_s, warm_up=False)
-        for batch in batches:
-            got = [session.get(u) for u in batch.column(1).to_pylist()]
-            content = pa.array([body if status == 200 else None for status, body, _, _ in got], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), content], names=["key", "content"])
+    Each task fetches in_flight pages at once, one a host, and keeps a session (cookies, one visit of
+    the home page) for each host. See placed and crawl for how work is dealt and what a task holds.
+    proxy is the address of an HTTP proxy, where pages aren't fetched directly.
+    """
+
+    def make(part: list) -> list[pa.Array]:
+        html = [None if a.body is None else decoded(a.body, a.charset) for _, a in part]
+        return [pa.array([r[0] for r, _ in part], pa.int64()), pa.array([r[1] for r, _ in part], pa.string()), pa.array(html, pa.string()), pa.nulls(len(part), pa.string())]
+
+    rows = placed(urls.select(F.col("page_id").cast("long").alias("page_id"), "url"), partitions=partitions)
+    kinds = {"page_id": pa.int64(), "url": pa.string(), "html": pa.string(), "html_specs": pa.string()}
+    return _fetched(rows, kinds, PAGES, make, lambda: Session(backoff_s, warm_up, max_bytes, proxy), in_flight, slice_bytes)
+
+
+def fetch_images(records: DataFrame, key: str = "page_id", url: str = "image_url", backoff_s: float = 1.0, partitions: int | None = None, in_flight: int = IN_FLIGHT, max_bytes: int = MAX_BYTES, slice_bytes: int = SLICE_BYTES, proxy: str | None = None) -> DataFrame:
+    """key and content (binary) of the images that records name; content is null for any status but 200 and beyond max_bytes."""
+
+    def make(part: list) -> list[pa.Array]:
+        return [pa.array([r[0] for r, _ in part], pa.int64()), pa.array([a.body if a.status == 200 else None for _, a in part], pa.binary())]
 
-    return records.select(F.col(key).cast("long").alias("key"), url).mapInArrow(run, "key long, content binary").withColumnRenamed("key", key)
+    rows = placed(records.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url")), partitions=partitions)
+    got = _fetched(rows, {"key": pa.int64(), "content": pa.binary()}, "key long, content binary", make, lambda: Session(backoff_s, False, max_bytes, proxy), in_flight, slice_bytes)
+    return got.withColumnRenamed("key", key)
 
 
 class _Urls(InputPartition):
@@ -136,9 +162,8 @@ class _PageReader(DataSourceReader):
         return [_Urls(rows[i : i + self.each]) for i in range(0, len(rows), self.each)] or [_Urls([])]
 
     def read(self, partition) -> Iterator[tuple]:
-        session = Session(self.backoff, self.warm_up)
-        for i, url in partition.rows:
-            yield i, url, session.page(url), None
+        for (i, url), a in crawl(partition.rows, lambda: Session(self.backoff, self.warm_up).get):
+            yield i, url, None if a.body is None else decoded(a.body, a.charset), None
 
 
 class HttpPages(DataSource):
