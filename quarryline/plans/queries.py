@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import catalog, dispatch, specs
 from ..operators.extract import body_text, extract, first_text, merge_previous, spec_rows, stripped_text
+from ..sources.encoding import decoded_pages
+from ..sources.links import LinkTable
+from ..sources.store import shared_path
 from .sites import SITES
 
 #: The driver's pages are of these labels; none of the real sites occurs.
@@ -88,6 +91,18 @@ def price_parse(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", S.parse_price(F.concat(F.lit("৳ "), F.format_number("p_retailprice", 2), F.lit(" Tk"))).alias("price"))
 
 
+_PLAIN = "coalesce(TRY_CAST(replace(regexp_extract({0}, '[0-9,]+\\.?[0-9]*'), ',', '') AS DOUBLE), 0.0)"
+_GIVEN = "CASE p_partkey % 3 WHEN 0 THEN 'price ' || format('{:,.2f}', p_retailprice) WHEN 1 THEN ', ' || CAST(p_size AS VARCHAR) ELSE 'Tk' END"
+
+
+@query(f"SELECT p_partkey, {_PLAIN.replace('{0}', _GIVEN)} AS price FROM part")
+def price_parse_plain(spark, sf):
+    """The press sites' reading: no currency signs are taken out before."""
+    kind = F.col("p_partkey") % 3
+    given = F.when(kind == 0, F.concat(F.lit("price "), F.format_number("p_retailprice", 2))).when(kind == 1, F.concat(F.lit(", "), F.col("p_size").cast("string"))).otherwise("Tk")
+    return _t(spark, sf, "part").select("p_partkey", S.parse_price(given, currency=()).alias("price"))
+
+
 @query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS price FROM part")
 def price_parse_bengali(spark, sf):
     digits = F.translate(F.col("p_size").cast("string"), S.ASCII, S.BENGALI)
@@ -247,6 +262,62 @@ for _site in SITES:
     _add_extract(_site)
 
 
+@query("""SELECT p_partkey AS page_id, CASE WHEN p_size % 2 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN p_size % 2 = 0 THEN ['guard'] ELSE CAST([] AS VARCHAR[]) END AS errors,
+CASE WHEN p_size % 2 = 1 THEN p_name END AS product_name, CASE WHEN p_size % 2 = 1 THEN round(p_retailprice, 2) END AS price, CASE WHEN p_size % 2 = 1 THEN p_size END AS pages, CASE WHEN p_size % 2 = 1 THEN 'Bangla' END AS language, CAST([] AS BIGINT[]) AS author_ids, CAST([] AS BIGINT[]) AS publisher_ids FROM part""")
+def url_guard(spark, sf):
+    """Half of the addresses are written in upper case, so they lack the guard: such rows stay, without fields. Links begin empty."""
+    pages = generated_pages(spark, sf, "rokomari")
+    size = _t(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), "p_size")
+    shouted = pages.join(size, "page_id").withColumn("url", F.when(F.col("p_size") % 2 == 0, F.upper("url")).otherwise(F.col("url")))
+    return extract(shouted, ["rokomari"]).select("page_id", "status", "errors", "product_name", "price", "pages", "language", "author_ids", "publisher_ids")
+
+
+@query("""SELECT p_partkey AS page_id, CASE WHEN p_size % 3 = 0 THEN [] WHEN p_size % 3 = 1 THEN ['missing:image_url'] ELSE ['missing:price', 'missing:image_url'] END AS errors, CASE WHEN p_size % 3 = 0 THEN 'ok' ELSE 'partial' END AS status,
+CASE WHEN p_size % 3 = 2 THEN 0.0 ELSE round(p_retailprice, 2) END AS price, CASE WHEN p_size % 3 = 0 THEN '/i.jpg' END AS image_url FROM part""")
+def missing_elements(spark, sf):
+    """Pages that lack elements which their site always has are partial and say which."""
+    part = _spread(_t(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size"))
+    price = F.when(F.col("p_size") % 3 == 2, F.lit("")).otherwise(F.format_string('<div class="product-price"><h3>Tk %.2f</h3></div>', "p_retailprice"))
+    image = F.when(F.col("p_size") % 3 == 0, F.lit('<div class="product-img-area"><img src="/i.jpg"></div>')).otherwise("")
+    url = F.concat(F.lit("https://esquireelectronicsltd.com/"), F.col("p_partkey").cast("string"))
+    return extract(part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), F.concat(price, image).alias("html")), ["esquireelectronicsltd"]).select("page_id", "errors", "status", "price", "image_url")
+
+
+@query("""SELECT p_partkey AS page_id, p_name AS product_name, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'before' END AS authors, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 1 END AS pages, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS publication_date FROM part""")
+def second_look(spark, sf):
+    """Spec rows come from the page as it was after the click, where there is one, and all else from the first."""
+    part = _spread(_t(spark, sf, "part").select("p_partkey", "p_name", "p_size", "p_brand"))
+    first = F.format_string('<h1 class="mb-2 fs-20 fw-600">%s</h1><table id="spec-table"><tr><td>Author</td><td>before</td></tr><tr><td>Number of Pages</td><td>1</td></tr></table>', "p_name")
+    second = F.format_string('<h1 class="mb-2 fs-20 fw-600">other</h1><table id="spec-table"><tr><td>Author</td><td>%s</td></tr><tr><td>Number of Pages</td><td>%d</td></tr><tr><td>Last Edition</td><td>%d</td></tr></table>', "p_brand", "p_size", "p_size")
+    url = F.concat(F.lit("https://khoshrozltd.com/"), F.col("p_partkey").cast("string"))
+    pages = part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), first.alias("html"), F.when(F.col("p_size") % 2 == 0, second).alias("html_specs"))
+    return extract(pages, ["khoshrozltd"]).select("page_id", "product_name", "authors", "pages", "publication_date")
+
+
+@query(r"SELECT page_id, CASE WHEN page_id % 4 = 2 THEN regexp_replace(html, '[^\x{00}-\x{7F}\x{A0}-\x{FF}]', '?', 'g') ELSE html END AS html FROM pages")
+def page_encodings(spark, sf):
+    """Pages as bytes: marked UTF-16, UTF-8 that says so, Latin-1 by the server's word, UTF-8 without any label."""
+    pages = _spread(_t(spark, sf, "pages"))
+    kind = F.col("page_id") % 4
+    latin = F.encode(F.regexp_replace("html", r"[^\x{00}-\x{7F}\x{A0}-\x{FF}]", "?"), "ISO-8859-1")
+    unlabelled = F.encode(F.replace("html", F.lit('<meta charset="utf-8">'), F.lit("<!-- none -->")), "UTF-8")
+    body = F.when(kind == 0, F.encode("html", "UTF-16")).when(kind == 1, F.encode("html", "UTF-8")).when(kind == 2, latin).otherwise(unlabelled)
+    raw = pages.select("page_id", "url", body.alias("body"), F.when(kind == 2, "ISO-8859-1").alias("charset"))
+    return decoded_pages(raw).select("page_id", F.replace("html", F.lit("<!-- none -->"), F.lit('<meta charset="utf-8">')).alias("html"))
+
+
+@query("""SELECT o_custkey AS wizard_id, list_sort(list(DISTINCT o_orderkey)) AS ids FROM orders
+WHERE NOT (o_custkey % 5 = 0 AND o_custkey % 7 <> 0 AND o_totalprice <= 100000) GROUP BY o_custkey""")
+def link_replace(spark, sf):
+    """A table of links, in which the sets of every fifth record are then replaced: by fewer links, by none, or, where null is given, not at all."""
+    orders = _t(spark, sf, "orders")
+    links = LinkTable(spark, shared_path(spark, "links"), buckets=8)
+    links.replace(orders.groupBy(F.col("o_custkey").alias("wizard_id")).agg(F.collect_list("o_orderkey").alias("ids")))
+    some = orders.where("o_custkey % 5 = 0").groupBy(F.col("o_custkey").alias("wizard_id")).agg(F.collect_list(F.when(F.col("o_totalprice") > 100_000, F.col("o_orderkey"))).alias("ids"))
+    links.replace(some.withColumn("ids", F.when(F.col("wizard_id") % 7 != 0, F.col("ids"))))
+    return links.sets()
+
+
 def _from_part(spark, sf, body: str, *fields: str) -> DataFrame:
     """page_id and html of a page for each part."""
     part = _spread(_t(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice", "p_size", "p_brand"))

@@ -12,6 +12,17 @@ CASES = [
     (S.parse_price, None, 0.0),
     (S.parse_price, "৳ ১২০", 120.0),
     (S.parse_price, "a, 300", 0.0),
+    (lambda c: S.parse_price(c, currency=()), "1,250.50", 1250.5),
+    (lambda c: S.parse_price(c, currency=()), "৳ 1,250.50 Tk", 1250.5),
+    (lambda c: S.parse_price(c, currency=()), "Tk5", 5.0),
+    (lambda c: S.parse_price(c, currency=()), "1Tk2", 1.0),  # with the sign taken out it is 12
+    (S.parse_price, "1Tk2", 12.0),
+    (lambda c: S.parse_price(c, currency=()), ", 3", 0.0),
+    (lambda c: S.parse_price(c, currency=()), None, 0.0),
+    (S.price, None, None),
+    (S.price, "x", 0.0),
+    (S.first_price, "free", None),
+    (S.first_price, "৳1,250.00", 1250.0),
     (S.first_decimal, "৳1,250.00", 1.0),
     (S.first_decimal, "Wt. 300 g", None),
     (S.digits_and_dots, "Tk. 250.00", None),
