@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Memo, batch_rows, drop_written, fanned_out, map_batches, text_or_empty, written
 
@@ -229,6 +230,21 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     return Classifier({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, bias)
 
 
+def scores(model: Classifier):
+    """A function of a text column that gives each text's score; a null text counts as empty.
+
+    Only the texts go through Python, so the other columns of a frame may be of any names and types.
+    """
+
+    @F.arrow_udf(T.DoubleType())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        score = model.scorer()
+        for texts in batches:
+            yield pa.array([score(t or "") for t in texts.to_pylist()], pa.float64())
+
+    return run
+
+
 def with_scores(docs: DataFrame, model: Classifier, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all, if None) and score double, for every row.
 
