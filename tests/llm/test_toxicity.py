@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -102,10 +104,29 @@ def test_held_out_rows_teach_nothing(spark):
     assert a == b
 
 
-def test_query(spark, sf):
+def plain_score(model, text):
+    """From the weights alone: every word and each of its beginnings of 4 to 7 letters, once a text."""
+    words = {w for w in re.findall(r"[^\W\d_]+", text.lower())}
+    found = words | {w[:n] + "*" for w in words for n in (4, 5, 6, 7) if len(w) > n}
+    shouted = [w for w in re.findall(r"[^\W\d_]+", text) if w.isupper() and len(w) > 2]
+    found |= {"!shout"} if len(shouted) > 0.2 * max(10, text.count(" ")) else set()
+    found |= {"!marks"} if text.count("!!") > 2 else set()
+    return 1 / (1 + math.exp(-model.bias - sum(w for f, w in model.weights.items() if f in found)))
+
+
+def test_query_equals_the_weights(spark, sf):
+    """Every row's score, computed anew from the classifier; held_out by zlib."""
+    sf = sf.replace("sf0.001", "sf0.01")  # the smallest table is too small to learn from
     out = op9_toxicity(spark, sf)
     assert out.columns == ["doc_id", "held_out", "score", "predicted"]
-    assert out.where("score < 0 or score > 1 or predicted != int(score >= 0.5)").count() == 0
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = tox.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = out.collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts) and len(model.weights) > 5
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert abs(r["score"] - plain_score(model, texts[r["doc_id"]])) < 1e-9 and r["predicted"] == int(r["score"] >= 0.5)
 
 
 def test_pipeline(spark, sf):
@@ -125,6 +146,43 @@ def test_pipeline(spark, sf):
     assert {(r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()} == {(None, None, None), (1, "", 0), (2, "[secret] x", 10)}
 
 
+def test_pipeline_keeps_every_column(spark, sf, tmp_path):
+    """Columns that clash with what the stages use inside, dotted ones, maps and arrays, with repeated rows."""
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("doc_id long, text string, lang string, source string, n_chars long, score double, `a.b` string, row string, record int, m map<string,array<int>>, n int, text_hash binary, id string, value int, `_base` string, c0 int, at struct<x: int, `y.z`: string>")
+    draw = random.Random(2)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(30)) for _ in range(6)]
+    rows = [(i, t, "en", "s", len(t), i / 7, f"d{i}", f"r{i}", i, {"k": [i, None], "z": None}, i, bytearray([i]), f"i{i}", i, f"b{i}", i, (i, f"y{i}")) for i, t in enumerate(texts)]
+    rows.append((6, texts[0] + " more", *rows[0][2:]))
+    rows += [rows[1], rows[1], (*rows[1][:5], -1.0, *rows[1][6:]), (7, "password=hunter22 x", *rows[2][2:]), (None, None, *[None] * 15), (None, texts[0], *rows[3][2:])]
+    docs = spark.createDataFrame(rows, schema)
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, sf)
+        assert now.schema.names == schema.names and [f.dataType for f in now.schema] == [f.dataType for f in schema], name
+        now.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+    plain = lambda r: tuple(sorted(v.items()) if isinstance(v, dict) else v for v in r)
+    got, given = [plain(r) for r in now.collect()], [plain(r) for r in docs.collect()]
+    assert sorted(str(r[0]) for r in got) == ["0", "1", "2", "3", "4", "5", "7", "None", "None"]
+    # Each row is one of those given, in all that no stage is to change.
+    same = {tuple(map(str, r[:1] + r[2:4] + r[5:])) for r in given}
+    assert {tuple(map(str, r[:1] + r[2:4] + r[5:])) for r in got} <= same
+    assert {r[0]: (r[1], r[4]) for r in got if r[0] == 7} == {7: ("[secret] x", 10)}
+    last = corpus_pipeline.STAGES[-1][1](spark, now, sf)
+    assert last.count() == 9
+
+
+def test_pipeline_of_other_columns(spark, sf):
+    """Without n_chars, and with no column besides the key and the text."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "token=abcdef1 x"), (2, "token=abcdef1 x")], "doc_id long, text string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, docs.collect())) == [(1, "a b"), (2, "[secret] x")]
+
+
 def test_pipeline_of_empty_tables(spark, sf, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
