@@ -45,13 +45,19 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written_at"] = path
+    return out
 
 
 def drop_written(df: DataFrame) -> None:
-    """Delete the files behind a frame made by `written` that nothing reads any more."""
+    """Delete the files behind a frame made by `written`, or behind one that reads nothing else, when nothing reads them any more."""
     spark = df.sparkSession
-    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    at = df.__dict__.get("_written_at")
+    own = shared_root(spark).split(":", 1)[-1].lstrip("/")
+    for root in [at] if at else {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if not root.split(":", 1)[-1].lstrip("/").startswith(own):
+            raise ValueError(f"{root} isn't in the shared folder")
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -267,7 +267,7 @@ def _stars(shared: DataFrame, codes: DataFrame, similarity: float) -> DataFrame:
 
 
 def _between(shared: DataFrame, label: DataFrame, codes: DataFrame, similarity: float, seed: int) -> DataFrame:
-    """Links a, b between the components of label, from buckets that hold nodes of several."""
+    """Links a, b between the components of label, from buckets that hold nodes of several; written."""
     labelled = shared.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
     mixed = written(labelled.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n"), "mixed")
     open_rows = written(join_hot(labelled, mixed, "bucket", "n", shared.count()).select("bucket", "node", "part"), "open")
@@ -294,7 +294,10 @@ def _between(shared: DataFrame, label: DataFrame, codes: DataFrame, similarity:
         turn = int(np.argmax((draws == bucket).any(0)))
         return pa.table(dict(zip("ab", settled(task, draws, turn, similarity).T, strict=True)))
 
-    return dealt(work.select("bucket", "task", "node", "part", "codes", "drawn"), ["bucket", "task"], settle, "a long, b long")
+    more = written(dealt(work.select("bucket", "task", "node", "part", "codes", "drawn"), ["bucket", "task"], settle, "a long, b long"), "more")
+    for done in (mixed, open_rows, sizes, spread):
+        drop_written(done)
+    return more
 
 
 def _classed(prepared: DataFrame, similarity: float, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -313,7 +316,7 @@ def _classed(prepared: DataFrame, similarity: float, seed: int, keep: tuple[str,
 
     star = written(_stars(shared, codes, similarity), "star")
     label = components(star)
-    more = written(_between(shared, label, codes, similarity, seed), "more")
+    more = _between(shared, label, codes, similarity, seed)
     for done in (star, shared, codes):
         drop_written(done)
     # Components of components; what has no further links keeps its label.
@@ -327,6 +330,6 @@ def _classed(prepared: DataFrame, similarity: float, seed: int, keep: tuple[str,
     of_text = written(members.join(named.unionByName(single), "node", "left").select("seq", "n", F.coalesce("class", "node").alias("class")), "texts")
     rows = written(join_hot(prepared.select("id", "row", "seq", *keep), of_text, "seq", "n", total).select("id", "row", "class", *keep), "classes")
     best = written(rows.groupBy("class").agg(F.min(F.struct("id", "row")).alias("best"), F.count("*").alias("n")), "best")
-    for done in (prepared, members, of_part, of_text):
+    for done in (prepared, members, of_part, of_text, label, joined):
         drop_written(done)
     return join_hot(rows, best, "class", "n", total).select("id", *keep, F.col("best.id").alias("class_id"), (F.col("best.row") == F.col("row")).alias("kept"))

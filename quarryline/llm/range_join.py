@@ -30,8 +30,8 @@ from .components import components
 
 #: Vectors that one side of a join task holds: 2048 vectors of 64 doubles are 1 MB.
 BLOCK = 2048
-#: Vectors that are compared with pivots in one task, at least.
-CHUNK = 1024
+#: Vectors that are compared with pivots in one task, at least, and entries of a table of vectors and pivots (32 MB).
+CHUNK, CELLS = 1024, 1 << 22
 #: Comparisons of two vectors that cost as much as to move one to another task.
 MOVE = 1000
 #: Slack on bounds, for rounding; links themselves are decided without it.
@@ -76,21 +76,31 @@ def _units(task: pa.Table) -> np.ndarray:
     return x / task.column("norm").to_numpy()[:, None]
 
 
-def cells_of(units: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest pivot of each vector, and a table of the cells that each must be in."""
-    dots = units @ pivots.T
-    own = dots.argmax(1)
-    gap = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 1e-18))
-    inside = (dots[np.arange(len(units)), own][:, None] - dots) / gap[own] <= radius
-    inside[np.arange(len(units)), own] = True
-    return own, inside
+def cells_of(units: np.ndarray, pivots: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For slices of the vectors in turn: the nearest pivot of each, and a table of the cells that each must be in.
+
+    A slice is so large that its table has CELLS entries, whatever the number of pivots.
+    """
+    for at in range(0, len(units), max(1, CELLS // len(pivots))):
+        part = units[at : at + max(1, CELLS // len(pivots))]
+        dots = part @ pivots.T
+        own = dots.argmax(1)
+        # The distance to the plane between two pivots times the distance of the pivots is half the difference of the dot products' doubles.
+        inside = dots[np.arange(len(part)), own][:, None] - dots
+        gap = pivots[own] @ pivots.T
+        np.subtract(2, 2 * gap, out=gap)
+        np.sqrt(np.maximum(gap, 1e-18, out=gap), out=gap)
+        inside = inside <= radius * gap
+        inside[np.arange(len(part)), own] = True
+        yield own, inside
 
 
 def pivots_of(sample: np.ndarray, n: int, radius: float) -> np.ndarray:
     """Pivots for a group of n vectors, chosen from a sample: each next one is the farthest from those before.
 
     Tried are 2, 4, 8, ... of them, up to the square root of n; taken are those with which the
-    sample's copies and comparisons would cost least.
+    sample's copies and comparisons would cost least. A vector of a cell that fills several blocks is
+    copied to as many tasks.
     """
     most = max(2, math.isqrt(n))
     chosen, near = [0], sample @ sample[0]
@@ -104,9 +114,12 @@ def pivots_of(sample: np.ndarray, n: int, radius: float) -> np.ndarray:
     count = 2
     while count < 2 * len(chosen):
         pivots = sample[chosen[:count]]
-        own, inside = cells_of(sample, pivots, radius)
-        natives, members = np.bincount(own, minlength=len(pivots)) * n / len(sample), inside.sum(0) * n / len(sample)
-        total = float(natives @ members) + MOVE * float(members.sum())
+        natives, members = np.zeros(len(pivots)), np.zeros(len(pivots))
+        for own, inside in cells_of(sample, pivots, radius):
+            natives += np.bincount(own, minlength=len(pivots))
+            members += inside.sum(0)
+        natives, members = natives * n / len(sample), members * n / len(sample)
+        total = float(natives @ members) + MOVE * float(members @ np.maximum(1, members / BLOCK))
         if total < cost:
             best, cost = pivots, total
         count *= 2
@@ -138,13 +151,16 @@ def _placed(nodes: DataFrame, radius: float, seed: int) -> DataFrame:
         if not task.num_rows:
             return task.append_column("cell", pa.array([], pa.int32())).append_column("native", pa.array([], pa.bool_()))
         units = _units(task)
-        own, inside = cells_of(units, chosen.reshape(-1, units.shape[1]), radius)
-        row, cell = np.nonzero(inside)
-        return task.take(pa.array(row)).append_column("cell", pa.array(cell.astype(np.int32))).append_column("native", pa.array(own[row] == cell))
+        out, first = [], 0
+        for own, inside in cells_of(units, chosen.reshape(-1, units.shape[1]), radius):
+            row, cell = np.nonzero(inside)
+            out.append(task.take(pa.array(row + first)).append_column("cell", pa.array(cell.astype(np.int32))).append_column("native", pa.array(own[row] == cell)))
+            first += len(own)
+        return pa.concat_tables(out)
 
     both = chunked.unionByName(of_chunk, allowMissingColumns=True)
     placed = written(dealt(both, ["group", "chunk"], place, "group long, g long, node long, w long, x binary, norm double, cell int, native boolean"), "cells")
-    for done in (rows, pivots):
+    for done in (rows, pivots, sizes):
         drop_written(done)
     return placed
 
@@ -205,6 +221,7 @@ def near_links(nodes: DataFrame, cosine: float, seed: int = 7, block: int = BLOC
 
     found = written(dealt(tasks, [*cell, "i", "j"], join, "a long, b long, n long"), "found")
     drop_written(placed)
+    drop_written(sizes)
     return found.where("n > 0").groupBy(F.col("a").alias("g")).agg(F.sum("n").alias("n_links")), found.where("n = 0").select("a", "b")
 
 
@@ -230,6 +247,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id",
     chained = held.join(held.groupBy("id").agg(F.min("a").alias("b")), "id").select("a", "b")
     parts = components(links.unionByName(chained)).withColumnRenamed("component", "part")
     known = written(same.join(counts, "g", "left").join(parts, "node", "left").select(*on, "rows", (F.coalesce("n_links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("part", "node").alias("part")), "known")
+    for done in (nodes, same, counts, parts):
+        drop_written(done)
     component = F.coalesce("part", "id")
     out = join_hot(rows.select("id", *on), known, on, "rows", rows.count(), "left")
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -166,6 +166,28 @@ def _sampled(docs: DataFrame, keys: DataFrame, key: str, text: str, most: int, s
     return taken
 
 
+def _lowest(keys: Callable[[Column], DataFrame], rows: int, most: int, seed: int) -> DataFrame:
+    """The `most` rows with the lowest seeded hashes of their ids, ties by id, of a table of at most `rows` rows.
+
+    keys(condition) gives the rows, id among their columns, whose ids satisfy a condition. Only ids
+    under a bound on their hash are asked for; it is raised, seldom, where too few are found. So what is
+    shuffled is some multiple of `most`, not all keys.
+    """
+    code = F.xxhash64(F.lit(seed), "id")
+    share = 4 * most / max(1, rows)
+    while share < 1:
+        found = written(keys(code < int(-(2.0**63) + share * 2.0**64)), "keys")
+        if found.count() >= most:
+            break
+        drop_written(found)
+        share *= 8
+    else:
+        found = written(keys(F.lit(True)), "keys")
+    out = written(found.orderBy(code, "id").limit(most), "lowest")
+    drop_written(found)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, seed: int = 3) -> Classifier:
     """Fit on at most sample_rows labelled and unlabelled_rows unlabelled texts of rows that aren't held out.
 
@@ -177,14 +199,26 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """
     spark = docs.sparkSession
     batch_rows(spark)
-    marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("id")).agg((F.max(label) > 0).cast("int").alias("y"))
-    lowest = lambda rows, most: rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(most)
-    sample = _sampled(docs, lowest(marked, sample_rows), key, text, sample_rows, seed)
+
+    def marked(fits: Column) -> DataFrame:
+        told = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).select(F.col(key).alias("id"), F.col(label).alias("y"))
+        return told.where(fits).groupBy("id").agg((F.max("y") > 0).cast("int").alias("y"))
+
+    def free(fits: Column) -> DataFrame:
+        ids = docs.where(F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("id"))
+        return ids.where(fits).distinct().join(marked(fits).select("id"), "id", "left_anti")
+
+    def sampled(keys: Callable[[Column], DataFrame], rows: int, most: int) -> DataFrame:
+        lowest = _lowest(keys, rows, most, seed)
+        out = _sampled(docs, lowest, key, text, most, seed)
+        drop_written(lowest)
+        return out
+
+    sample = sampled(marked, labels.count(), sample_rows)
     n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if positive == 0 or positive == n:
         return Classifier()
-    free = docs.where(F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("id")).distinct().join(marked.select("id"), "id", "left_anti")
-    others = _sampled(docs, lowest(free, unlabelled_rows), key, text, unlabelled_rows, seed)
+    others = sampled(free, docs.count(), unlabelled_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}

@@ -81,3 +81,50 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 99)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links).collect()}
     assert got == {i: 0 for i in range(41)} | {99: 99, 100: 99}
+
+
+def test_memory_grows_with_the_root_of_a_group():
+    """What the pivots' task and a chunk's task hold for a label of 25 million vectors."""
+    import subprocess
+    import sys
+
+    code = """
+import math, resource
+import numpy as np
+from quarryline.llm import range_join as rj
+n = 25_000_000
+rng = np.random.default_rng(1)
+base = rng.normal(size=(300, 16))
+def units(m):
+    x = base[rng.integers(0, 300, m)] + rng.normal(scale=0.3, size=(m, 16))
+    return x / np.sqrt((x * x).sum(1))[:, None]
+sample = units(4 * math.isqrt(n))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+pivots = sample[: math.isqrt(n)]
+rows = 0
+for own, inside in rj.cells_of(sample, pivots, 0.2):
+    rows += len(own)
+assert rows == len(sample) and len(pivots) == 5000
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env={**__import__("os").environ, "OMP_NUM_THREADS": "1"})
+    assert float(out.stdout) < 400, out.stdout
+
+
+@pytest.mark.parametrize("cells", [1, 50, 1 << 22])
+def test_slices_change_nothing(monkeypatch, cells):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 8))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    pivots, radius = x[:7], 0.4
+    monkeypatch.setattr(range_join, "CELLS", cells)
+    own, inside = (np.concatenate(c) for c in zip(*range_join.cells_of(x, pivots, radius), strict=True))
+    for i in range(200):
+        d = np.sqrt(((x[i] - pivots) ** 2).sum(1))
+        assert d[own[i]] <= d.min() + 1e-12
+        for q in range(7):
+            if q != own[i]:
+                plane = (d[q] ** 2 - d[own[i]] ** 2) / (2 * np.sqrt(((pivots[q] - pivots[own[i]]) ** 2).sum()))
+                assert inside[i, q] == (plane <= radius)
+            else:
+                assert inside[i, q]

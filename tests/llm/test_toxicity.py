@@ -56,6 +56,26 @@ def test_sample_is_bounded(spark):
     assert got.count() == 20 and got.columns == ["text", "y", "id"]
 
 
+def test_lowest_hashes_need_no_shuffle_of_all_keys(spark):
+    asked = []
+
+    def keys(fits):
+        asked.append(ids.where(fits))
+        return asked[-1]
+
+    for n in (0, 50, 30_000):
+        ids = spark.range(n)
+        code = F.xxhash64(F.lit(3), "id")
+        want = [r[0] for r in ids.orderBy(code, "id").limit(100).collect()]
+        asked.clear()
+        assert [r[0] for r in tox._lowest(keys, n, 100, 3).collect()] == want
+        assert len(asked) == 1 and (n < 1000 or asked[0].count() < 600)
+    # Where most of the keys aren't there, the bound is raised until enough are.
+    ids = spark.range(30_000).where("id % 100 = 0")
+    asked.clear()
+    assert [r[0] for r in tox._lowest(keys, 30_000, 100, 3).collect()] == [r[0] for r in ids.orderBy(code, "id").limit(100).collect()] and len(asked) > 1
+
+
 def test_label_model_nears_the_true_posterior():
     # Independent voters for class 1 and one that copies another; few labels, many unlabelled rows.
     rng = np.random.default_rng(1)
