@@ -209,7 +209,8 @@ def best(blocks: DataFrame, trees: DataFrame, n_blocks: int, n_trees: int, k: in
                         b.search(what, alike)
         yield from done()
 
-    both = held.unionByName(read).repartition("block", "slice").sortWithinPartitions("block", "slice", "kind")
+    # A number that is given stays: tasks are few in bytes and long in time.
+    both = held.unionByName(read).repartition(n_blocks * slices, "block", "slice").sortWithinPartitions("block", "slice", "kind")
     found = both.mapInArrow(search, "block long, dim int, anchor long, window int, id long, score long")
     rank = F.row_number().over(Window.partitionBy("block", "dim", "anchor", "window").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
