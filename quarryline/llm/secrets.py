@@ -62,12 +62,22 @@ donaudampfschifffahrt arbeitslosigkeit wirtschaftswachstum sehenswürdigkeit zei
 avoir toujours maintenant gouvernement développement quelque monsieur ensemble anticonstitutionnellement
 malheureusement aujourd approximativement bibliothèque travailleur oeuvre
 siempre trabajo gobierno desarrollo nosotros ciudad también universidad electrodomésticos desafortunadamente
-responsabilidad extraordinariamente izquierda guerra""".split()
+responsabilidad extraordinariamente izquierda guerra
+przedsiębiorca szczęście wszystko chrząszcz zwierzęta krzyczeć dźwięk społeczeństwo rzeczpospolita bezpieczeństwo mężczyzna
+wykształcenie przyszłość trzydzieści źródło niebezpieczny czternaście wspomnienie przyjaciel skrzydło zdziwienie
+zmrzlina čtvrtek vzdělávání společnost nejkrásnější příležitost krajina hospodářství skutečnost vlastnictví prstencový
+zdravstvuyte pozhaluysta vzglyad obshchestvo pravitelstvo chuvstvo svyazannyy perestroyka khrushchev dostizheniye
+megszentség egészségügyi köszönöm lehetőség gyönyörű vezérigazgató kütüphane değiştirmek çekoslovakyalı güzelleştirmek
+verantwoordelijkheid schoonmaakbedrijf gemeenschappelijk angstschreeuw slechtstschrijvend""".split()
 #: Fixed short names of folders, sites and formats that paths and addresses are made of.
 PLACES = """usr local lib bin share home users var log etc opt tmp src main test java python3 site-packages node_modules dist
 build assets images img static public api v1 v2 v3 https http www com org net de fr en wiki wikipedia github blog news
 index html php css js json xml pdf png jpg 2023 2024 1080 720 x86_64 utf-8 iso-8859-1 rfc2616 sha256 md5 base64""".split()
 SIGNS = "-_+/"
+#: Fixed: the rows of a keyboard, over which fingers walk, and what names of devices and parts end in.
+ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890")
+UNITS = """GB MB TB Hz GHz mm cm kg V W mAh inch pcs pack rev ver type gen mk cat usb hdmi pro plus max mini lite black white
+blue red set kit board sensor cable eu us uk std iso iec din""".split()
 
 
 @dataclass(frozen=True)
@@ -82,7 +92,8 @@ def labelled_samples(n: int = 4000, seed: int = 11) -> list[tuple[str, bool]]:
     """n random strings (True) of common alphabets, and 2 * n ordinary runs (False).
 
     The ordinary ones are names made of WORDS in the usual ways, single long words, paths and
-    addresses, dates, times and counters, plain numbers, rulers, and repeated characters or words.
+    addresses, dates, times and counters, plain numbers, part numbers, walks over the keyboard,
+    rulers, and repeated characters or words.
     """
     draw = random.Random(seed)
     alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits, string.hexdigits[:16], string.digits + "ABCDEF"]
@@ -99,7 +110,33 @@ def labelled_samples(n: int = 4000, seed: int = 11) -> list[tuple[str, bool]]:
         unit = draw.choice([*SIGNS, *SIGNS, *string.ascii_letters, *string.digits, draw.choice(SIGNS) + draw.choice(SIGNS), draw.choice(SIGNS) * draw.randint(2, 6) + draw.choice(SIGNS), draw.choice(words), "0123456789", string.ascii_lowercase, string.ascii_uppercase])
         return unit * (1 + draw.randint(20, 80) // len(unit))
 
+    def part() -> str:
+        case = draw.choice([str.upper, str.upper, str.title, str])
+        letters = lambda least, most: "".join(draw.choices(string.ascii_uppercase, k=draw.randint(least, most)))
+        number = lambda least, most: str(draw.randint(10 ** (least - 1), 10**most - 1))
+        forms = [
+            lambda: letters(1, 3) + number(1, 4),
+            lambda: letters(1, 2) + number(1, 3) + draw.choice(["", letters(1, 1)]),
+            lambda: number(1, 3) + case(draw.choice(UNITS)),
+            lambda: number(1, 2) + "x" + number(1, 3) + draw.choice(["", *UNITS]),
+            lambda: letters(2, 3),
+            lambda: number(1, 5),
+            lambda: case(draw.choice(UNITS)) + number(1, 2),
+        ]
+        named = lambda: case(draw.choice([*words, *UNITS]))
+        parts = [draw.choice(forms)() for _ in range(draw.randint(2, 3))] + [named() for _ in range(draw.randint(1, 3))]
+        draw.shuffle(parts)
+        return draw.choice("---_/").join(parts)
+
+    def walk() -> str:
+        out = ""
+        while len(out) < 20:
+            row = draw.choice(ROWS)
+            out += row[draw.randint(0, len(row) - 6) :][:: draw.choice([1, 1, -1])]
+        return draw.choice([str, str, str.upper])(out)
+
     kinds = [
+        lambda: walk() if draw.random() < 0.15 else part(),
         lambda: draw.choice(joins)(draw.choices(words, k=draw.randint(2, 6))),
         lambda: draw.choice(joins)(draw.choices(words, k=draw.randint(2, 6))),
         lambda: draw.choice([str, str.title, str.upper])(max(draw.choices(words, k=4), key=len)) * draw.randint(1, 2),

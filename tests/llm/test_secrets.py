@@ -157,7 +157,7 @@ def test_ordinary_runs_are_left_alone_and_random_ones_found(spark):
     df = spark.createDataFrame([(i, f"x {s} y") for i, s in enumerate(ORDINARY + STRINGS)], "doc_id long, text string")
     found = {r["doc_id"] for r in sec.secret_report(df, TEST).collect() if r["n_random"]}
     wrong = [ORDINARY[i] for i in found if i < len(ORDINARY)]
-    assert wrong == ["qwertyuiopasdfghjklzxcvbnm"]  # a walk over the keyboard's rows: the known miss of the model
+    assert wrong == []
     assert {i - len(ORDINARY) for i in found if i >= len(ORDINARY)} == set(range(len(STRINGS)))
 
 
@@ -173,3 +173,35 @@ def test_very_many_matches_in_one_text(spark):
     df = spark.createDataFrame([(1, "token=abcdef1 " * n)], "doc_id long, text string")
     r = sec.secret_report(df, TEST).first()
     assert r["n_assign"] == n and r["spans"].endswith(f"assign:{14 * (n - 1)}:{14 * n - 1}")
+
+
+#: Chosen to be hard, and seen while the kinds of samples were chosen: consonants of several languages, walks over keyboards, part numbers.
+HARD = """Przyszczypkiewiczowskiego szczebrzeszynskiegochrzaszcza qwertyuiopasdfghjklzxcvbnm RTX4090-SLI-DDR5-6000-CL30-NVMe
+asdfghjklqwertyuiop1 zxcvbnmasdfghjklqwerty 1qaz2wsx3edc4rfv5tgb6yhn Konstantynopolitanczykowianeczka najneobhospodarovavatelnejsimi
+zmrzlinarstvikrkonosske Strcprstskrzkrkmlzhrstzrn zwyciezczyniprzewrotu wszechstronnosciprzedsiebiorstw dzieciolprzedwczesnie
+vychrtlykrkavecskvrnity prestupleniyenakazaniyedostoyevskogo zdravstvuytepozhaluystaspasibo vzaimopomoshchsovetskogosoyuza
+DDR4-3200-CL16-2x8GB-RGB LM317T-TO220-STMicroelectronics ESP32-WROOM-32D-DevKitC-V4 STM32F407VGT6-Discovery-Board
+74HC595-SN74HC595N-DIP16 USB3-2-Gen2x2-Type-C-HDMI2 RJ45-CAT6A-S_FTP-LSZH-10m NVIDIA-A100-SXM4-80GB-PCIe4 PN-2041-88731-REV-B-2019
+SKU_0042_BLK_XL_2023_EU INV-2023-000184-DE-0042 ISBN978-3-16-148410-0-pbk IEC-60068-2-27-2008-EN MIL-STD-810G-CHG1-2014
+hungarianmegszentsegtelenithetetlen pneumonoultramicroscopicsilicovolcanoconiosis donaudampfschifffahrtsgesellschaft
+Llanfairpwllgwyngyllgogerychwyrndrobwllllantysiliogogogoch kindercarnavalsoptochtvoorbereidingswerkzaamheden
+muvaffakiyetsizlestiricilestiriveremeyebileceklerimizdenmissinizcesine antidisestablishmentarianism
+getElementsByClassNameNSResolver NSMutableAttributedStringKeyName XMLHttpRequestEventTargetPrototype kCFStreamPropertySSLPeerTrust
+ERR_SSL_PROTOCOL_ERROR_0x80072F8F HKEY_LOCAL_MACHINE_SOFTWARE_Microsoft abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ
+0123456789012345678901234 aaaaaaaaaaaaaaaaaaaaaaaaa mississippimississippi poiuytrewqlkjhgfdsamnbvcxz""".split()
+#: Those of them that the test takes for random: columns of a keyboard, names that are mostly codes.
+KNOWN = ["1qaz2wsx3edc4rfv5tgb6yhn", "74HC595-SN74HC595N-DIP16", "RJ45-CAT6A-S_FTP-LSZH-10m", "NVIDIA-A100-SXM4-80GB-PCIe4", "poiuytrewqlkjhgfdsamnbvcxz"]
+
+
+def test_hard_runs_and_misses_by_length():
+    import random
+    import string
+
+    def is_random(s):
+        return sum(TEST.table[(ord(a) - sec.LOW) * sec.WIDTH + ord(b) - sec.LOW] for a, b in zip(s, s[1:], strict=False)) >= TEST.least
+
+    assert [s for s in HARD if is_random(s)] == KNOWN
+    draw = random.Random(99)
+    for alphabet, most in ((string.ascii_letters + string.digits, 0.002), (string.ascii_uppercase + string.digits, 0.005), (string.ascii_lowercase + string.digits, 0.005), ("0123456789abcdef", 0.01), (string.ascii_lowercase, 0.15)):
+        for n in (20, 32):
+            assert sum(not is_random("".join(draw.choices(alphabet, k=n))) for _ in range(2000)) <= most * 2000
