@@ -102,3 +102,5 @@ def test_stream(spark, sf, tmp_path):
     for _ in range(2):
         run_ingest(page_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/catalog")).count() == pages.count()
+    run_ingest(page_stream(spark, str(tmp_path / "in")), str(tmp_path / "two"), str(tmp_path / "cp2"), ["pbs"]).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "two/catalog")).count() == 0 and spark.read.parquet(str(tmp_path / "two/rejects")).count() == pages.count()
