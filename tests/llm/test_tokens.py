@@ -131,6 +131,56 @@ def test_piece_digests(spark, texts):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_counts_query_equals_a_plain_search(spark, sf):
+    """Every row of op1: the best score by the plain recurrence over all prefixes, the count by the tokenizers library."""
+    import sentencepiece
+    from tokenizers import Tokenizer, models, normalizers
+
+    from quarryline.llm.queries import op1_token_counts
+
+    rows = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in op1_token_counts(spark, sf).collect()}
+    assert got.keys() == rows.keys()
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    t = Tokenizer(models.Unigram([(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size())], 0, True))
+    t.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+    assert {k: n for k, (n, _) in got.items()} == {k: len(t.encode(x).ids) for k, x in rows.items()}
+    pieces = dict(vocabulary(PIECES))
+    longest = max(map(len, pieces))
+    least = min(pieces.values()) - 10  # of a character that no piece is
+    checked = 0
+    for k in sorted(rows, key=lambda k: len(rows[k]))[: len(rows) // 2]:
+        text = "▁" + rows[k].replace(" ", "▁") if rows[k] else ""
+        best = [0.0] + [-float("inf")] * len(text)
+        for end in range(1, len(text) + 1):
+            for begin in range(max(0, end - longest), end):
+                score = pieces.get(text[begin:end])
+                if score is None and end - begin == 1:
+                    score = least
+                if score is not None:
+                    best[end] = max(best[end], best[begin] + score)
+        if all(c in pieces for c in text):
+            checked += 1
+            assert abs(got[k][1] - best[-1]) < 1e-6 * max(1, abs(best[-1])), k
+    assert checked > 50
+
+
+def test_files_query_equals_the_library(spark, sf):
+    """Every row of op4, with ids of a tokenizer loaded anew."""
+    from tokenizers import Tokenizer
+
+    from quarryline.llm.queries import op4_token_files
+
+    library = Tokenizer.from_file(WORDS)
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    want, start = [], 0
+    for k, text in rows:
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in op4_token_files(spark, sf).collect()) == want
+
+
 def test_empty(spark):
     df = docs(spark, []).limit(0)
     assert token_counts(df, PIECES).count() == piece_digests(df, PIECES).count() == 0
