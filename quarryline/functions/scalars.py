@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 BENGALI, ASCII = "০১২৩৪৫৬৭৮৯", "0123456789"
 #: Currency signs that a price may carry.
 CURRENCY = ("৳", "Tk")
+#: The references that escaping makes; the ampersand's is the last, so that nothing is decoded twice.
+ESCAPES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#x27;": "'", "&#39;": "'", "&amp;": "&"}
 
 
 def strip(text: Column) -> Column:
@@ -16,6 +18,13 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
 
 
+def unescaped(text: Column) -> Column:
+    """With the references of ESCAPES decoded, and no others: one that is cut before its semicolon stays as it stands."""
+    for reference, char in ESCAPES.items():
+        text = F.replace(text, F.lit(reference), F.lit(char))
+    return text
+
+
 def ascii_digits(text: Column) -> Column:
     return F.translate(text, BENGALI, ASCII)
 
