@@ -10,6 +10,8 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,26 @@ NORMALIZERS = {"NFC", "Replace", "Lowercase"}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A sign after a letter; the apostrophe isn't one, as it may join.
 SIGN = r"([a-z])([.,;:!?&$%#*]+)"
+ASCII_SIGN = r"[!-/:-@\[-`{-~]"
 #: Marks that compose with letters before the letters become small ones.
 MARKS = r"[\x{0300}-\x{036F}]"
 #: Chunks that the library gets at once, and bytes of texts that are numbered at once (one text at least).
-TOGETHER, SLICE = 2000, 4 << 20
+TOGETHER, SLICE = 2000, 8 << 20
+
+
+def gathered(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together as long as their column of texts stays within SLICE bytes, so that fewer distinct chunks are looked up."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        more = batch.column(text).nbytes
+        if held and size + more > SLICE:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += more
+    if held:
+        yield pa.concat_batches(held)
 
 
 def chunks_are_exact(rules: dict) -> bool:
@@ -65,13 +83,45 @@ class BatchEncoder:
         self.exact = chunks_are_exact(rules)
         self.added = [t["content"] for t in rules["added_tokens"]]
         self.between = next(((t["content"], t["id"]) for t in rules["added_tokens"] if t["special"]), None)
+        self.last = self._word_ends(rules["model"])
         self.memo = Memo(self.chunks, memo_entries)
 
+    def _word_ends(self, model: dict) -> np.ndarray | None:
+        """For each id, whether it ends a word of letters; None for models that don't mark such ids."""
+        suffix = model.get("end_of_word_suffix")
+        if model.get("type") != "BPE" or not suffix or not re.search(ASCII_SIGN, suffix):  # which no word of letters spells
+            return None
+        ends = np.zeros(self.library.get_vocab_size(), bool)
+        for token, number in self.library.get_vocab(with_added_tokens=False).items():
+            ends[number] = token.endswith(suffix)
+        return ends
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.unit) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks that hold no added token. A special token between them shows where each ends."""
+        """Ids of chunks that hold no added token."""
+        words = [c for c in chunks if c.isalpha()] if self.last is not None else []
+        known = dict(zip(words, self._words(words), strict=True))
+        rest = iter(self._parted([c for c in chunks if c not in known]))
+        return [known[c] if c in known else next(rest) for c in chunks]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of chunks of letters alone, with spaces between them: each ends at an id that ends a word.
+
+        A chunk has at least one such id, so where there are as many as chunks each has one; where
+        there are more (letters that the rules take apart) the chunks are parted otherwise.
+        """
+        out: list[bytes] = []
+        for at in range(0, len(words), TOGETHER):
+            group = words[at : at + TOGETHER]
+            (ids,) = self.whole([" ".join(group)])
+            ends = np.flatnonzero(self.last[ids]) + 1
+            out += self._cut(ids, [0, *ends[:-1]], ends) if len(ends) == len(group) else self._parted(group)
+        return out
+
+    def _parted(self, chunks: list[str]) -> list[bytes]:
+        """Ids of any chunks. A special token between them shows where each ends."""
         if self.between is None:
             return [x.tobytes() for x in self.whole(chunks)]
         word, number = self.between
@@ -79,11 +129,13 @@ class BatchEncoder:
         for at in range(0, len(chunks), TOGETHER):
             (ids,) = self.whole([word.join(chunks[at : at + TOGETHER])])
             cuts = np.flatnonzero(ids == number)
-            raw = ids.tobytes()
-            begins, ends = [0, *((cuts + 1) * self.unit.itemsize).tolist()], [*(cuts * self.unit.itemsize).tolist(), len(raw)]
-            out += [raw[a:b] for a, b in zip(begins, ends, strict=True)]
+            out += self._cut(ids, [0, *(cuts + 1)], [*cuts, len(ids)])
         return out
 
+    def _cut(self, ids: np.ndarray, begins: Sequence[int], ends: Sequence[int]) -> list[bytes]:
+        raw, size = ids.tobytes(), self.unit.itemsize
+        return [raw[a:b] for a, b in zip((np.array(begins) * size).tolist(), (np.array(ends) * size).tolist(), strict=True)]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of texts without nulls, one text after the other, and the n + 1 places where texts begin and end."""
         if not len(texts):

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import encoder
+from .chunks import encoder, gathered
 from .common import batch_rows, drop_written, fanned_out, text_or_empty, written
 
 #: Buckets, and the tokens that a batch may have with its padding.
@@ -32,7 +32,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in gathered(batches, 1):
             ids, ends = own.encode(batch.column(1))
             ids = np.insert(ids, ends[1:], end_id)
             ends = (ends + np.arange(len(ends))) * own.unit.itemsize

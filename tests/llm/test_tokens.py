@@ -69,6 +69,30 @@ def test_chunks_equal_whole_texts(texts, monkeypatch, exact, at_once):
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [x.ids for x in e.library.encode_batch(more[:40], add_special_tokens=False)]
 
 
+def test_words_are_encoded_without_special_tokens_between(monkeypatch):
+    e = BatchEncoder(WORDS)
+    plain = ["word", "über", "ৎ", "日本語", "ςΣ", "ᄒ" + "ᅡ" + "ᆫ", "ǅ", "a" * 300]  # letters alone; the sixth is composed
+    odd = ["don't", "x1", "İ", "İstanbul", "কি", "...", "a.b", "</w>", "²"]  # some are letters that the rules take apart
+    want = {c: e.whole([c])[0].tobytes() for c in plain + odd}
+    given = []
+    whole = e.whole
+    monkeypatch.setattr(e, "whole", lambda texts: given.extend(texts) or whole(texts))
+    assert e.chunks(plain) == [want[c] for c in plain] and given == [" ".join(plain)]
+    for mixed in (odd, [*odd, *plain], [plain[0], *odd, plain[0]], []):
+        assert e.chunks(mixed) == [want[c] for c in mixed]
+    e.last = None
+    assert e.chunks([*plain, *odd]) == [want[c] for c in (*plain, *odd)]
+
+
+def test_batches_are_gathered_within_the_slice(monkeypatch):
+    monkeypatch.setattr(chunks, "SLICE", 400)
+    sizes = [10, 0, 100, 150, 1000, 1, 1, 390]
+    batches = [pa.record_batch({"k": [i], "t": ["x" * n]}) for i, n in enumerate(sizes)]
+    got = list(chunks.gathered(iter(batches), 1))
+    assert [b.column(0).to_pylist() for b in got] == [[0, 1, 2, 3], [4], [5, 6], [7]] and list(chunks.gathered(iter(()), 1)) == []
+    assert pa.Table.from_batches(got) == pa.Table.from_batches(batches)
+
+
 def test_chunks_of_other_tokenizers_are_refused(texts):
     e = BatchEncoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert not e.exact and not chunks_are_exact({"added_tokens": []})
